@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, tokencount
+from . import bpe, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_token_counts": tokencount.op5_token_counts,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
