@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, tokencount, toxicity
+from . import bpe, licenses, mixing, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_mixing": mixing.op3_mixing,
     "op5_token_counts": tokencount.op5_token_counts,
+    "op6_license_scan": licenses.op6_license_scan,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
+}
