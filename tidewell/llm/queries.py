@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality, tokencount, toxicity
+from . import bpe, licenses, mixing, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_license_scan": licenses.op6_license_scan,
+    "op8_pii": pii.op8_pii,
     "op10_quality": quality.op10_quality,
 }
 
