@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, pii, quality, tokencount, toxicity
+from . import bpe, licenses, mixing, ngram_join, pii, quality, tokencount, toxicity
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_license_scan": licenses.op6_license_scan,
     "op8_pii": pii.op8_pii,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality": quality.op10_quality,
 }
 
