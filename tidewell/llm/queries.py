@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, ngram_join, pii, quality, tokencount, toxicity
+from . import bpe, itq, licenses, mixing, ngram_join, pii, quality, tokencount, topk, toxicity
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_exact_topk": topk.op4_exact_topk,
     "op5_token_counts": tokencount.op5_token_counts,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_embedding_dedup": itq.op7_embedding_dedup,
     "op8_pii": pii.op8_pii,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality": quality.op10_quality,
@@ -17,5 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op4_exact_topk": topk.ORACLE,
     "op6_license_scan": licenses.ORACLE,
+    "op7_embedding_dedup": itq.ORACLE,
 }
