@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.sources.tables import TOKEN
 
@@ -37,7 +38,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type object: a worker that imports this has no session to parse a name
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -70,7 +71,8 @@ def language(text: Column, default: str = "en", confidence: float = 0.7) -> Colu
     Stands where a model would be plugged in; under the confidence the default is taken, with confidence 0.
     """
     words = tokens(text)
-    counts = [F.size(F.filter(words, lambda w, s=stop: w.isin(*s))) for stop in STOP_WORDS.values()]
+    among = lambda stop: F.size(F.filter(words, lambda w: w.isin(*stop)))
+    counts = [among(stop) for stop in STOP_WORDS.values()]
     total = sum(counts[1:], counts[0])
     best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(name).alias("name")) for c, name in zip(counts, STOP_WORDS)]))
     share = F.when(total > 0, best["n"] / total).otherwise(F.lit(0.0))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import search_queries  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array(lang, concat('b', n_chars % 5), concat('l', doc_id % 7)) AS tags",
         "concat('{\"category\":\"c', doc_id % 4, '\",\"price\":', n_chars, '}') AS attributes",
         "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, doc_id) AS created_at",
-        "if(doc_id % 20 = 0, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(1, doc_id), null) AS deleted_at",
+        "if(doc_id % 20 = 7, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(1, doc_id), null) AS deleted_at",
     )
 
 
@@ -72,7 +72,7 @@ TOKEN = r"[a-z0-9\x{DF}-\x{24F}\x{400}-\x{4FF}]+"
 # ---- the same in DuckDB's SQL
 DOCS = r"""docs AS (SELECT doc_id, source AS tenant_id, substr(text, 1, 40) AS title, text AS content, lang AS language,
   [lang, 'b' || (n_chars % 5), 'l' || (doc_id % 7)] AS tags, 'c' || (doc_id % 4) AS category, CAST(n_chars AS DOUBLE) AS price,
-  TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at, CASE WHEN doc_id % 20 = 0 THEN TIMESTAMP '2024-01-02' + to_hours(doc_id) END AS deleted_at FROM documents)"""
+  TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at, CASE WHEN doc_id % 20 = 7 THEN TIMESTAMP '2024-01-02' + to_hours(doc_id) END AS deleted_at FROM documents)"""
 POINTS = "points AS (SELECT vec_id AS point_id, vec_id // 2 AS doc_id, vec_id % 2 AS chunk_idx, embedding AS vector, 'm' || (label % 2) AS model_name, label FROM embeddings)"
 EVENTS = """ev AS (SELECT event_id, ts AS created_at, user_id, 't' || (user_id % 5) AS tenant_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
   CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'click' END AS kind,
