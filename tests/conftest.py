@@ -4,9 +4,8 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
-SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -27,28 +26,9 @@ def spark():
 def oracle():
     import duckdb
 
+    from compare import SF_DIR
+
     con = duckdb.connect()
     for name in TABLES:
         con.sql(f"create view {name} as select * from '{SF_DIR}/{name}.parquet'")
     return con
-
-
-def plain(v):
-    import datetime
-    import decimal
-
-    if isinstance(v, decimal.Decimal):
-        return float(v)
-    if isinstance(v, (list, tuple)):
-        return tuple(map(plain, v))
-    return v.replace(tzinfo=None) if isinstance(v, datetime.datetime) else v
-
-
-def same(df, relation):
-    """Rows of both sides, columns by name, in one order."""
-    columns = sorted(df.columns)
-    assert columns == sorted(relation.columns)
-    places = [relation.columns.index(c) for c in columns]
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    want = sorted((tuple(plain(r[i]) for i in places) for r in relation.fetchall()), key=repr)
-    assert got == want

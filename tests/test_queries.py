@@ -1,7 +1,7 @@
 """Every engine query against its SQL, or at least run where it has none."""
 
 import pytest
-from conftest import SF_DIR, same
+from compare import SF_DIR, same
 
 from tidewell.plans.catalogue import ORACLES, QUERIES
 
