@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _Remembered
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, release
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 BLOCK = 256
+#: Ids up to which the doubles travel to every task (24 bytes each).
+BROADCAST_ROWS = 200_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -179,11 +181,11 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
         def close(anchor, probes, group):
             if not probes or not group:
                 return [], []
-            trie = Trie(list(group.items()))
+            trie = Trie(group)
             got = sorted({m for probe in probes for m in trie.linked(probe, percent)})
             return [anchor] * len(got), got
 
-        key, probes, group = None, [], {}
+        key, probes, group = None, [], []
         for batch in batches:
             left, right = [], []
             for anchor, block, role, member, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -192,12 +194,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                         a, b = close(key[0], probes, group)
                         left += a
                         right += b
-                    key, probes, group = (anchor, block), [], {}
+                    key, probes, group = (anchor, block), [], []
                 s = np.frombuffer(data, np.uint64)
                 if not role:
                     probes.append(s)
                 elif len(s):
-                    group[member] = s
+                    group.append((member, s))
             if left:
                 yield _rows(left, [right], found)
         if key:
@@ -211,16 +213,19 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     """doc_id, n_shingles, component_id for every row.
 
     A text without words has the empty set, links with nothing and is its own component; so do null texts. Rows that
-    share an id are documents of their own that carry it. Rows without an id get the smallest id they reach, if any.
+    share an id are one node with all their texts. Rows without an id get the smallest id they reach, if any.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     cut = min(1.0, 2 * (100 - percent) / 100)
-    listed, listed_path = materialize(list_sets(docs, n, percent, cut), "shingles")
-    classes = listed.where("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    chosen = listed.where("size > 0").join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
+    wide, wide_path = materialize(list_sets(docs, n, percent, cut), "shingles")
+    listed, _ = materialize(wide.select("doc_id", "size", "d1", "d2"), "digests")
+    classes, _ = materialize(listed.where("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     # Sets so small that only equal ones link need no candidates: need(size + 1) > size.
-    chosen = chosen.where(F.expr(f"100 * size >= {percent} * (size + 1)"))
+    linkable = wide.where(F.expr(f"100 * size >= {percent} * (size + 1)"))
+    doubles, doubles_path = materialize(listed.where("size > 0").select("d1", "d2", "doc_id").join(classes, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "d1", "d2").distinct(), "doubles")
+    # Few doubles travel to the lists of hashes; many are joined by a shuffle of the lists.
+    chosen = linkable.join(F.broadcast(doubles) if doubles.count() <= BROADCAST_ROWS else doubles, ["doc_id", "d1", "d2"], "left_anti").where("doc_id is not null")
     tokens = chosen.select(F.explode(F.concat("low", "rest")).alias("token"), F.col("doc_id").alias("doc"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     top = int(cut * 2**64) - 1
@@ -236,12 +241,20 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
         .select("token", "doc", "size", "place")
     )
     prefixes, prefixes_path = materialize(ordered, "prefixes")
+    discard(spark, wide_path)
+    discard(spark, doubles_path)
+    release(spark)
 
     firsts = prefixes.groupBy("token").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last")).where("anchor < last")
     votes = prefixes.join(firsts, "token").where("doc <> anchor").groupBy("doc", "anchor").agg(F.count("*").alias("votes"))
     ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "anchor")))
     near = ranked.where("rank <= 2").select("anchor", F.col("doc").alias("member"))
-    first_edges, first_path = materialize(verify(near, docs, n, percent), "links")
+    # An id that stands at several texts is one node: it links their classes.
+    texts_of = listed.where("size > 0 and doc_id is not null").select("doc_id", "d1", "d2").distinct()
+    several = texts_of.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    same_id = texts_of.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("anchor"), F.col("rep").alias("member")).where("anchor <> member")
+    first_edges, _ = materialize(verify(near, docs, n, percent).unionByName(same_id), "links")
+    release(spark)
     first = connected_components(first_edges)
 
     placed = prefixes.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
