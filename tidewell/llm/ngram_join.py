@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join by prefix trees.
 
 Each text becomes the set of its shingles, as 64-bit hashes. Texts of equal sets form a class and are joined as one.
-Candidates come from prefixes in one global order: hashes below a cut by how many sets list them, then by value; the
-rest by value. Two sets that meet the threshold must share one of their first n - need + 1 shingles. The cut only
-decides which shingles are counted, never which pairs are found.
+Candidates come from prefixes in one global order: hashes below a cut that few sets list, then those beyond it, then
+those below it that many list, each step by how many sets list them. Two sets that meet the threshold must share one of
+their first n - need + 1 shingles. Beyond the cut only sets are listed whose prefix reaches that far, so most shingles
+are never counted; which pairs are found doesn't depend on it.
 
 Groups of copies would make pairs with the square of their size, so links are found in two steps that together lose
 no connection. First every set is held against the smallest id of the prefix lists it shares most with, and what links
@@ -30,6 +31,8 @@ from .common import connected_components, discard, materialize, release
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 BLOCK = 256
+#: Sets that list a hash up to which it is light. Decides where it stands in the order, not whether it counts.
+HEAVY = 64
 #: Ids up to which the doubles travel to every task (24 bytes each).
 BROADCAST_ROWS = 200_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -73,26 +76,45 @@ def _rows(ids: list, arrays: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, schema[0].type), *(pa.array(a, f.type) for a, f in zip(arrays, list(schema)[1:]))], schema=schema)
 
 
-def list_sets(docs: DataFrame, n: int, percent: int, cut: float) -> DataFrame:
-    """doc_id, size, digest, the hashes below the cut, and those of the prefix beyond it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("low", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
-    below = np.uint64(int(cut * 2**64) - 1) if cut < 1 else np.uint64(2**64 - 1)
+def last_low(cut: float) -> np.uint64:
+    return np.uint64(int(cut * 2**64) - 1) if cut < 1 else np.uint64(2**64 - 1)
+
+
+def late_hashes(docs: DataFrame, n: int, cut: float) -> DataFrame:
+    """token, doc: the hashes beyond the cut of these texts."""
+    schema = pa.schema([("doc", pa.int64()), ("late", pa.list_(pa.int64()))])
+    below = last_low(cut)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t, n) for t in part.column(1).to_pylist()]
+                yield _rows(part.column(0).to_pylist(), [[s[int(np.searchsorted(s, below, side="right")) :].view(np.int64) for s in sets]], schema)
+
+    listed = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc long, late array<long>")
+    return listed.select(F.explode("late").alias("token"), "doc")
+
+
+def list_sets(docs: DataFrame, n: int, cut: float) -> DataFrame:
+    """doc_id, size, digest and the hashes below the cut."""
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("low", pa.list_(pa.int64()))])
+    below = last_low(cut)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = [[], [], [], [], []]
+                out = [[], [], [], []]
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text, n)
                     digest = xxhash.xxh128_digest(s.tobytes())
                     lows = int(np.searchsorted(s, below, side="right"))
-                    prefix = len(s) - need(len(s), percent) + 1 if len(s) else 0
-                    for column, value in zip(out, (len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), s[:lows].view(np.int64), s[lows:prefix].view(np.int64))):
+                    for column, value in zip(out, (len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), s[:lows].view(np.int64))):
                         column.append(value)
                 yield _rows(part.column(0).to_pylist(), out, schema)
 
-    ddl = "doc_id long, size int, d1 long, d2 long, low array<long>, rest array<long>"
+    ddl = "doc_id long, size int, d1 long, d2 long, low array<long>"
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ddl)
 
 
@@ -209,6 +231,11 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
     return dealt.mapInArrow(decide, "anchor long, member long")
 
 
+def _shared(tokens: DataFrame) -> DataFrame:
+    """token, doc, df of the hashes that two sets or more list."""
+    return tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token")
+
+
 def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -218,7 +245,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     cut = min(1.0, 2 * (100 - percent) / 100)
-    wide, wide_path = materialize(list_sets(docs, n, percent, cut), "shingles")
+    wide, wide_path = materialize(list_sets(docs, n, cut), "shingles")
     listed, _ = materialize(wide.select("doc_id", "size", "d1", "d2"), "digests")
     classes, _ = materialize(listed.where("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     # Sets so small that only equal ones link need no candidates: need(size + 1) > size.
@@ -226,23 +253,30 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     doubles, doubles_path = materialize(listed.where("size > 0").select("d1", "d2", "doc_id").join(classes, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "d1", "d2").distinct(), "doubles")
     # Few doubles travel to the lists of hashes; many are joined by a shuffle of the lists.
     chosen = linkable.join(F.broadcast(doubles) if doubles.count() <= BROADCAST_ROWS else doubles, ["doc_id", "d1", "d2"], "left_anti").where("doc_id is not null")
-    tokens = chosen.select(F.explode(F.concat("low", "rest")).alias("token"), F.col("doc_id").alias("doc"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    top = int(cut * 2**64) - 1
-    is_low = F.lit(True) if cut >= 1 else (F.col("token").between(0, top) if top < 2**63 else (F.col("token") >= 0) | (F.col("token") <= top - 2**64))
-    kept = tokens.join(shared, "token").withColumn("late", ~is_low)
-    sizes = chosen.select(F.col("doc_id").alias("doc"), "size", F.size("low").alias("lows"))
+    # One row an id; an id with several texts keeps all its hashes and skips the filters by size and place.
+    sizes = chosen.groupBy(F.col("doc_id").alias("doc")).agg(F.max("size").alias("size"), F.sum(F.size("low")).alias("lows"), (F.count("*") > 1).alias("loose"))
+    sizes, _ = materialize(sizes.withColumn("prefix", F.expr(f"size - ceil({percent} * size / 100D) + 1")), "sizes")
+    low = _shared(chosen.select(F.explode("low").alias("token"), F.col("doc_id").alias("doc")))
+    kept, kept_path = materialize(low.join(sizes, "doc"), "low")
+    discard(spark, wide_path)
+    discard(spark, doubles_path)
+    # Sets whose light hashes below the cut don't fill the prefix go on with those beyond it; the others never need them.
+    heavy = kept.groupBy("doc").agg(F.count_if(F.col("df") > HEAVY).alias("heavy"))
+    short = sizes.join(heavy, "doc", "left").where("loose or prefix > lows - coalesce(heavy, 0)").select(F.col("doc").alias("doc_id"))
+    more = _shared(late_hashes(docs.join(short, "doc_id", "left_semi"), n, cut)).join(sizes, "doc")
+    step = F.when(F.col("late"), 1).when(F.col("df") <= HEAVY, 0).otherwise(2)
+    both = kept.withColumn("late", F.lit(False)).unionByName(more.withColumn("late", F.lit(True))).withColumn("step", step)
     per_doc = Window.partitionBy("doc")
+    count = lambda condition: F.sum(F.when(condition, 1).otherwise(0)).over(per_doc)
+    light = F.col("lows") - count(F.col("step") == 2)
+    # Hashes that no other set has come first in their step; they take places and need no rows.
+    ahead = F.when(F.col("step") == 0, F.col("lows") - count(~F.col("late"))).when(F.col("step") == 1, light + F.col("size") - F.col("lows") - count(F.col("late"))).otherwise(light + F.col("size") - F.col("lows"))
     ordered = (
-        kept.join(sizes, "doc")
-        .withColumn("single", F.col("lows") - F.sum(F.when(F.col("late"), 0).otherwise(1)).over(per_doc))
-        .withColumn("place", F.col("single") + F.row_number().over(per_doc.orderBy("late", "df", "token")))
-        .where(F.expr(f"place <= size - ceil({percent} * size / 100D) + 1"))
-        .select("token", "doc", "size", "place")
+        both.withColumn("place", ahead + F.row_number().over(Window.partitionBy("doc", "step").orderBy("df", "token")))
+        .where("loose or place <= prefix").select("token", "doc", "size", "place", "loose")
     )
     prefixes, prefixes_path = materialize(ordered, "prefixes")
-    discard(spark, wide_path)
-    discard(spark, doubles_path)
+    discard(spark, kept_path)
     release(spark)
 
     firsts = prefixes.groupBy("token").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last")).where("anchor < last")
@@ -261,13 +295,13 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
     # Both sides are joined as one table under two names; a hot list is split by the skew handling of the join.
     here = placed.join(mixed, "token", "left_semi")
-    one = here.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "place", "component")])
-    two = here.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "place", "component")])
+    one = here.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "place", "loose", "component")])
+    two = here.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "place", "loose", "component")])
     least = f"ceil({percent} * (x_size + y_size) / {100 + percent}D)"
     across = (
         one.join(two, "token")
         .where("x_doc < y_doc and x_component <> y_component")
-        .where(f"100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and x_place <= x_size - {least} + 1 and y_place <= y_size - {least} + 1")
+        .where(f"x_loose or y_loose or 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and x_place <= x_size - {least} + 1 and y_place <= y_size - {least} + 1")
         .select(F.col("x_doc").alias("anchor"), F.col("y_doc").alias("member"))
     )
     pairs, pairs_path = materialize(across.distinct(), "pairs")
