@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -28,6 +29,9 @@ MEMORY = 300_000
 #: Symbols that the transducer gathers beyond the lookahead before it emits.
 BLOCK = 4096
 
+#: Bytes of text that are encoded and handed back together.
+SLICE_BYTES = 2_000_000
+
 #: Above every rank.
 NONE = 1 << 62
 
@@ -308,20 +312,24 @@ class WordBpe:
         """As the library decodes a vocabulary without a decoder: tokens with a space between; unknown ids dropped."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Count, SHA-256 of the ids and of the decoded text, in one pass and constant memory besides the text."""
+    def digest(self, text: str | None, into: bytearray | None = None) -> tuple[int, str, str]:
+        """Count, SHA-256 of the ids and of the decoded text, in one pass and constant memory besides the text; the
+        packed ids are appended to `into` if given."""
         count, of_ids, of_text, between = 0, hashlib.sha256(), hashlib.sha256(), b""
         parts = self.parts(text or "")
         while some := list(islice(parts, 8192)):
             counts, ids, texts = zip(*some)
             if n := sum(counts):
                 count += n
-                of_ids.update(b"".join(ids))
+                packed = b"".join(ids)
+                of_ids.update(packed)
+                if into is not None:
+                    into += packed
                 of_text.update(between + " ".join(filter(None, texts)).encode("utf-8"))
                 between = b" "
         return count, of_ids.hexdigest(), of_text.hexdigest()
 
-    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+    def digests(self, texts: list[str | None], into: bytearray | None = None) -> list[tuple[int, str, str]]:
         """digest() of each, with new words learned a few million characters at a time."""
         out, at = [], 0
         while at < len(texts):
@@ -332,7 +340,7 @@ class WordBpe:
                 if (size := size + len(text)) > 4_000_000:
                     break
             self.learn(some)
-            out += map(self.digest, texts[at : end + 1])
+            out += [self.digest(text, into) for text in texts[at : end + 1]]
             at = end + 1
         return out
 
@@ -425,11 +433,22 @@ def word_bpe(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts take about `most` bytes; a longer text stands alone or ends its run."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begun = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(begun)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, and the ids if asked for.
 
     A null text counts as empty; rows stay as they come, repeated or not; other columns are left aside.
-    No shuffle: one pass in Arrow batches, so a lost executor costs its own tasks only.
+    No shuffle: one pass in Arrow batches, so a lost executor costs its own tasks only. Ids leave in slices of a few MB
+    of text, so memory doesn't grow with the batch.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
@@ -437,12 +456,14 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     def run(batches):
         model = word_bpe(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = model.digests(texts)
-            columns = [batch.column(0), *(pa.array(c, f[1]) for c, f in zip(zip(*rows) if rows else [()] * 3, fields[1:]))]
-            if with_ids:
-                columns.append(pa.array(map(model.encode, texts), pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            for part in slices(batch, 1):
+                packed = bytearray() if with_ids else None
+                rows = model.digests(part.column(1).to_pylist(), packed)
+                columns = [part.column(0), *(pa.array(c, f[1]) for c, f in zip(zip(*rows), fields[1:]))]
+                if with_ids:
+                    ends = np.cumsum([0, *(row[0] for row in rows)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(packed, dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ddl)
