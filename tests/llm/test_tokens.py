@@ -98,3 +98,19 @@ def test_awkward_rows(awkward, nothing):
     counts = tokencount.count_documents(awkward, PIECE, 100).collect()
     assert len(counts) == len(rows) and Counter(r.over_limit for r in counts)[True] == 2
     assert bpe.encode_documents(nothing, WORD).count() == tokencount.count_documents(nothing, PIECE).count() == 0
+
+
+def test_slices_keep_every_row_in_order():
+    import pyarrow as pa
+
+    texts = [None, "", "abc" * 5, "x" * 40, None, "é" * 9, "y", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(bpe.slices(batch, 1, most=16))
+    assert len(parts) > 2 and [r for p in parts for r in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert list(bpe.slices(batch.slice(0, 0), 1)) == []
+    model = bpe.word_bpe(WORD)
+    packed = bytearray()
+    counts = [n for n, _, _ in model.digests(["Hello there", None, "naïve 日本"], packed)]
+    ids = list(struct.unpack(f"<{len(packed) // 4}I", packed))
+    assert counts[1] == 0 and ids == model.encode("Hello there") + model.encode("naïve 日本") and sum(counts) == len(ids)
