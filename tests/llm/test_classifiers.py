@@ -1,5 +1,8 @@
 """Ops 2 and 10: held-out accuracy, folding, exceptions, awkward rows."""
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +33,23 @@ def test_learning_without_labels():
     assert quality.learn([("a b", 1)] * 4).scores([""])[0] > 0.5
 
 
+def test_vectors_of_every_sampled_row():
+    rows = [("alpha beta gamma", 1)] * 2000 + [("delta epsilon A-9", 0), ("zeta epsilon A-9", 1)] * 5
+    model = quality._vectors(rows, 3)
+    assert {"alpha", "delta", "epsilon", "zeta"} <= set(model.words) and "A-9" in model.shapes
+    own = quality._unit(np.stack([quality.index_vector(w) for w in model.words]))
+    assert all(abs(own[i] - model.word_vectors[i]).max() > 0.05 for i in model.words.values())  # neighbours of each word count
+
+
+def test_every_shape_has_a_vector():
+    marks = ["".join(c) for c in itertools.islice(itertools.permutations("!#$%&*+-/:;<=>?@", 4), 40000)]
+    texts = [" ".join(m) for m in (marks, ["(" + x for x in marks])]
+    model = quality._vectors([(t, 1) for t in texts * 2], 9)
+    assert len(model.shapes) == 80000 and not model.words
+    one = model.pool("\x7f " + marks[0])[quality.DIM : 2 * quality.DIM]
+    assert one == pytest.approx((model.shape_vectors[0] + model.shape_vectors[model.shapes[marks[0]]]) / 2)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (3, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     t, q = toxicity.fit(awkward, labels), quality.fit(awkward, labels)

@@ -22,8 +22,6 @@ from .bpe import _Remembered
 from .training import MAX_ROWS, held_out, labelled_texts
 
 DIM, NONZERO, WINDOW, HIDDEN = 64, 6, 2, 24
-#: Rows of the sample that word vectors are gathered from.
-VECTOR_ROWS = 2000
 MEMORY = 300_000
 _CAPS, _SMALL, _DIGITS, _TWICE = re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S)
 REPEAT, LINE_REPEAT = "<again>", "<line again>"
@@ -63,7 +61,7 @@ class QualityModel:
     def _place(self, word: str) -> int:
         """Row of the word (or of its shape, after the words) and row of its shape, in one number."""
         kind = self.shapes.get(shape(word), 0)
-        return self.words.get(word.lower(), len(self.words) + kind) << 16 | kind
+        return self.words.get(word.lower(), len(self.words) + kind) << 32 | kind
 
     def pool(self, text: str) -> np.ndarray:
         if self.lookup is None:
@@ -74,11 +72,10 @@ class QualityModel:
             return np.zeros(2 * DIM + 2)
         places = np.fromiter(map(self.lookup.__getitem__, counts), np.int64, len(counts))
         weights = np.fromiter(counts.values(), np.float64, len(counts))
-        by_shape = np.bincount(places & 0xFFFF, weights, len(self.shapes) + 3)
-        by_shape[len(self.shapes) + 1] = n - len(counts)
-        lines = text.split("\n")
-        by_shape[len(self.shapes) + 2] = (len(lines) - len(set(lines))) * n / len(lines)
-        return np.concatenate([weights @ self.word_vectors[places >> 16] / n, by_shape @ self.shape_vectors / n, [np.log1p(n), by_shape[len(self.shapes) + 1] / n]])
+        again, lines = n - len(counts), text.split("\n")
+        line_again = (len(lines) - len(set(lines))) * n / len(lines)
+        by_shape = weights @ self.shape_vectors[places & 0xFFFFFFFF] + again * self.shape_vectors[-2] + line_again * self.shape_vectors[-1]
+        return np.concatenate([weights @ self.word_vectors[places >> 32] / n, by_shape / n, [np.log1p(n), again / n]])
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -92,20 +89,21 @@ class QualityModel:
 
 def _vectors(rows: list[tuple[str, int]], min_texts: int) -> QualityModel:
     in_texts, kinds = Counter(), Counter()
-    split = [text.split() for text, _ in rows[:VECTOR_ROWS]]
-    for words in split:
-        distinct = set(words)
+    for text, _ in rows:
+        distinct = set(text.split())
         in_texts.update({w.lower() for w in distinct})
         kinds.update({shape(w) for w in distinct})
     words = {w: i for i, w in enumerate(sorted(w for w, n in in_texts.items() if n >= min_texts))}
-    shapes = {s: i + 1 for i, s in enumerate(sorted(s for s, n in kinds.items() if n >= 2)[:60000])}  # 0: any other
+    shapes = {s: i + 1 for i, s in enumerate(sorted(s for s, n in kinds.items() if n >= 2))}  # 0: any other
     items = [*words, *("shape " + s for s in ["", *shapes]), REPEAT, LINE_REPEAT]
-    index = np.stack([index_vector(i) for i in items])
+    index = np.empty((len(items), DIM))
+    for i, item in enumerate(items):
+        index[i] = index_vector(item)
     model = QualityModel(words, shapes, index, index[len(words) :])
     context = np.zeros_like(index)
     lookup = _Remembered(model._place, MEMORY)
-    for at in range(0, len(split), 200):
-        ids = np.concatenate([np.array([lookup[w] >> 16 for w in s] + [-1] * WINDOW, dtype=np.int64) for s in split[at : at + 200]])
+    for at in range(0, len(rows), 200):
+        ids = np.concatenate([np.array([lookup[w] >> 32 for w in text.split()] + [-1] * WINDOW, dtype=np.int64) for text, _ in rows[at : at + 200]])
         for gap in range(1, WINDOW + 1):
             a, b = ids[:-gap], ids[gap:]
             both = (a >= 0) & (b >= 0)
