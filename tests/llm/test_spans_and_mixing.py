@@ -79,3 +79,38 @@ def test_license_blocks(awkward, nothing, spark):
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["mit", "gpl-3", "", "", ""] and rows[0].n_base == 1 and (rows[0].first_word, rows[0].last_word) == (1, 1) and rows[1].score == pytest.approx(10 / 12)
     assert licenses.scan(awkward).count() == awkward.count() and licenses.scan(nothing).count() == 0
+
+
+def brute_labels(text):
+    rows = [licenses.WORD.findall(line) for line in licenses.lower(text).split("\n")]
+    run = [w for words in rows for w in words]
+    shares = {}
+    for label, template in licenses.TEMPLATES:
+        words = licenses.WORD.findall(template)
+        size, own = -(-len(words) * 5 // 4), set(words)
+        blocks = rows + [a + b for a, b in zip(rows, rows[1:])] + [run[i : i + size] for i in range(len(run))]
+        best = max(len(own.intersection(b)) for b in blocks) / len(own)
+        if best >= 0.8 - 1e-9:
+            shares[label] = max(best, shares.get(label, 0))
+    return ",".join(sorted(shares)), max(shares.values(), default=0.0)
+
+
+def test_license_statements_over_many_lines(spark):
+    grant = dict((t.split()[0], t) for _, t in licenses.TEMPLATES)["permission"]
+    rng, noise = random.Random(4), "lorem ipsum dolor amet the of work software public version".split()
+    texts = [grant.replace("charge ", "charge,\n").replace("software ", "software\n"), grant.replace("charge ", "charge\n\n# ---\n# lorem ipsum\n# ").replace("software ", "software\n")]
+    for i in range(320):
+        words = licenses.TEMPLATES[i % len(licenses.TEMPLATES)][1].split()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [rng.choice(noise)]
+        cuts = sorted(rng.sample(range(1, len(words)), min(rng.randint(2, 4), len(words) - 1)))
+        parts = [" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)])]
+        around = [" ".join(rng.choice(noise) for _ in range(rng.randint(0, 9))) for _ in range(2)]
+        texts.append("\n".join([around[0], rng.choice(["\n# ", "\n\n * ", "\n# lorem ipsum\n# "]).join(parts), around[1]]))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.labels for r in rows if r.doc_id < 2] == ["mit", "mit"]
+    for r in rows:
+        labels, score = brute_labels(texts[r.doc_id])
+        assert set(r.labels.split(",")) - {""} == set(f"{labels},{r.base_labels}".split(",")) - {""}, texts[r.doc_id]
+        assert r.score == pytest.approx(1.0 if r.base_labels else score)

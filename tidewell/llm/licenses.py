@@ -1,17 +1,18 @@
 """License scans: exact phrase places, and an exact containment join of text blocks with license templates.
 
-A block is a line of a text, and each pair of neighbouring lines where a statement may be wrapped. A block holds a
-template when at least CONTAINMENT of the template's distinct words are among the block's. Words are ordered by how
-many blocks of the whole corpus have them, rarest first. Of a template's n words in that order, a block that holds it
+A block is a line of a text, each pair of neighbouring lines, and, since a statement may be wrapped over any number of
+lines, each run of words as long as the template allows (its length / CONTAINMENT) in the whole text. A block holds a
+template when at least CONTAINMENT of the template's distinct words are among the block's. Words are ordered by how many lines and pairs of the whole corpus have them, rarest first. Of a template's n words in that order, a block that holds it
 must have one of the first n - need + 1 (prefix filter), must have `need` words at least (length filter), and, when
 the first shared word stands at place i, can share n - i words at most (positional filter). Only what passes is
-counted out. Templates are few and fixed, so they and their words' counts travel with the tasks.
+counted out; runs are slid over a text only for templates that the text's words as one block would hold. Templates are few and fixed, so they and their words' counts travel with the tasks.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,16 +48,26 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
-def blocks(text: str):
-    """Sets of template words of every block that has any: lines, then neighbours. Other words can't matter."""
-    before: set[str] = set()
-    for line in text.split("\n"):
-        here = VOCABULARY.intersection(WORD.findall(line))
+def lines(text: str) -> list[tuple[int, int, list[str], set[str]]]:
+    """Number, place of the first word, words and template words of every line that has any template word."""
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        words = WORD.findall(line)
+        here = VOCABULARY.intersection(words)
         if here:
-            yield here
-            if before and not (here <= before or before <= here):
-                yield here | before
-        before = here
+            out.append((k, at, words, here))
+        at += len(words)
+    return out
+
+
+def blocks(rows: list[tuple[int, int, list[str], set[str]]]):
+    """Sets of template words of lines, then neighbours. Other words can't matter."""
+    last, before = -2, set()
+    for k, _, _, here in rows:
+        yield here
+        if k == last + 1 and not (here <= before or before <= here):
+            yield here | before
+        last, before = k, here
 
 
 class Index:
@@ -71,22 +82,58 @@ class Index:
             for place, word in enumerate(words[: len(words) - need + 1]):
                 self.prefixes.setdefault(word, []).append((len(self.templates), place))
             self.templates.append((label, frozenset(words), need, len(words)))
+        self.runs = [math.ceil(len(WORD.findall(text)) / containment - 1e-9) for _, text in TEMPLATES]
 
-    def matches(self, block: set[str]):
-        """(label, containment) of every template that the block holds."""
+    def _held(self, block: set[str]):
+        """(template, shared words) of every template that the block holds."""
         first: dict[int, int] = {}
         for word in block:
             for t, place in self.prefixes.get(word, ()):
                 if place < first.get(t, 1 << 30):
                     first[t] = place
         for t, place in first.items():
-            label, words, need, n = self.templates[t]
+            _, words, need, n = self.templates[t]
             if len(block) < need or n - place < need:
                 continue
             shared = len(words & block)
+            if shared >= need:
+                yield t, shared
+
+    def matches(self, rows: list[tuple[int, int, list[str], set[str]]]):
+        """(label, containment) of every template that a block of these lines holds."""
+        for block in blocks(rows):
+            for t, shared in self._held(block):
+                yield self.templates[t][0], shared / self.templates[t][3]
+        if len(rows) < 2:
+            return
+        text = None
+        for t, _ in self._held(set().union(*(here for *_, here in rows))):
+            label, words, need, n = self.templates[t]
+            if text is None:
+                text = [(at, w) for _, start, line, _ in rows for at, w in enumerate(line, start) if w in VOCABULARY]
+            shared = self._most(text, words, self.runs[t])
             if shared >= need:
                 yield label, shared / n
 
+    @staticmethod
+    def _most(text: list[tuple[int, str]], words: frozenset[str], run: int) -> int:
+        """The most distinct words of a template in any run of that many words of the text."""
+        window: deque[tuple[int, str]] = deque()
+        counts: dict[str, int] = {}
+        most = 0
+        for at, word in text:
+            if word not in words:
+                continue
+            window.append((at, word))
+            counts[word] = counts.get(word, 0) + 1
+            while window[0][0] <= at - run:
+                gone = window.popleft()[1]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+            most = max(most, len(counts))
+        return most
+
 
 def base_places(text: str) -> tuple[int, list[tuple[int, str]]]:
     """Number of words, and (start, label) of every base phrase; words are looked at only where the phrase may stand."""
@@ -108,13 +155,13 @@ def base_places(text: str) -> tuple[int, list[tuple[int, str]]]:
 
 
 def word_counts(docs: DataFrame) -> dict[str, int]:
-    """In how many blocks of the corpus each template word stands: one row a word and task, then a sum."""
+    """In how many lines and pairs of the corpus each template word stands: one row a word and task, then a sum."""
 
     def run(batches):
         counts: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for block in blocks(lower(text or "")):
+                for block in blocks(lines(lower(text or ""))):
                     for word in block:
                         counts[word] = counts.get(word, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -136,10 +183,9 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
         n, found = base_places(text)
         own = {label for _, label in found}
         labels, score = set(own), 1.0 if own else 0.0
-        for block in blocks(text):
-            for label, share in index.matches(block):
-                labels.add(label)
-                score = max(score, share)
+        for label, share in index.matches(lines(text)):
+            labels.add(label)
+            score = max(score, share)
         places = [at for at, _ in found]
         return n, len(found), min(places, default=None), max(places, default=None), ",".join(sorted(own)), ",".join(sorted(labels)), score
 
