@@ -1,6 +1,7 @@
 """Ops 3, 6 and 8 against plain code."""
 
 import hashlib
+import ipaddress
 import random
 import re
 
@@ -43,6 +44,37 @@ def test_pii_method_adds_and_spares(spark):
     assert spans[0].startswith("secret:") and spans[1].startswith("email:") and spans[2:] == ["", ""]
 
 
+def test_pii_long_and_compressed_forms(spark):
+    rng = random.Random(9)
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n - 2)) + "07"
+    spans = [("secret", 'the token = "', mixed(n)) for n in (128, 129, 200, 700, 5000, 60000)]
+    spans += [("ip", before, ip) for before in ("host ", "it came from client ") for ip in ("2001:db8::1", "fe80::1", "2001:db8:85a3::8a2e:370:7334", "2001:db8:1:2:3:4:5::", "2001:0db8:85a3:0000:0000:8a2e:0370:7334")]
+    spans += [("email", "write to ", name + " [at] " + host) for name in ("ana", "j.smith" * 12, "a1" * 20000) for host in ("example [dot] org", "a.b.c.d.e.f.example.org")]
+    spare = ["std::vector and std::add", "call cafe::bed now", "a :: b", "at 10:30:45 it rang", "of the checksum " + "0a1b2c3d" * 16, "x" * 50000 + "1"]
+    texts = [before + body + ' " here' for _, before, body in spans] + spare
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r.spans for r in pii.report(docs).orderBy("doc_id").collect()]
+    assert rows == [f"{k}:{len(before)}:{len(before) + len(body)}" for k, before, body in spans] + [""] * len(spare)
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == [f'{before}[{k.upper()}] " here' for k, before, _ in spans] + spare
+
+
+def test_compressed_addresses_against_the_library():
+    rng = random.Random(6)
+    pattern = re.compile(pii.GENERATORS[-1][1])
+    n = 0
+    for _ in range(30000):
+        sides = [":".join("%x" % rng.randrange(1 << rng.choice([4, 8, 16, 17])) for _ in range(rng.randint(0, 5))) for _ in range(rng.choice([1, 2, 2, 2, 2, 3]))]
+        text = "::".join(sides)
+        try:
+            ipaddress.IPv6Address(text)
+            want = "::" in text and text != "::"
+        except ValueError:
+            want = False
+        n += want
+        assert [m.group() for m in pattern.finditer(f"at {text}, then")] == [text] * want, text
+    assert n > 5000
+
+
 def test_pii_awkward(awkward, nothing):
     done = pii.redact(awkward)
     assert done.columns == awkward.columns and done.count() == awkward.count()

@@ -33,13 +33,17 @@ BASE = {
 }
 #: What a text must have for the pattern to be tried.
 NEEDS = {"email": "contains(text, '@')", "ip": "digits", "card": "digits", "phone": "contains(text, '+')"}
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Addresses with `::` for one or more groups of zeros: every way to share at most seven groups between its sides.
+_SHORT_IP = "|".join([f"::{_HEX}(?::{_HEX}){{0,6}}", *(f"(?:{_HEX}:){{{k}}}(?::{_HEX}){{1,{7 - k}}}" for k in range(1, 7)), f"(?:{_HEX}:){{1,7}}:"])
 GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){1,4}+(?![0-9A-Za-z-])", "digits"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9A-Za-z-])", "digits"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
-    ("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,128}+(?![A-Za-z0-9_])", "digits"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++){1,4}+", "contains(text, 'at)') or contains(text, 'at]') or contains(text, 'at )') or contains(text, 'at ]')"),
+    ("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+", "digits"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]++)++", "contains(text, 'at)') or contains(text, 'at]') or contains(text, 'at )') or contains(text, 'at ]')"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", "contains(text, ':')"),
+    ("ip", rf"(?<![0-9A-Za-z_:])(?:{_SHORT_IP})(?![0-9A-Za-z_:])", "contains(text, '::')"),
 )
 FEATURES = {
     "kind": "x.kind",
@@ -150,6 +154,21 @@ def sentences(seed: int = 3, n: int = 900) -> list[dict]:
         label = i % 2
         body = rng.choice(personal if label else harmless)()
         out.append({"text": f"{rng.choice(['It was said that ', 'Then ', 'Of the and in ', ''])}{body}{rng.choice(['', '.', ' and more', ', he said', chr(34)])}", "label": label})
+    groups = lambda least, most: ":".join(h(rng.randint(1, 4)) for _ in range(rng.randint(least, most)))
+    long_personal = [
+        lambda: rng.choice(['token = "', "secret: ", 'api_key="', "password=", "auth token ", "bearer ", 'key = "']) + mixed(rng.randint(129, 900)),
+        lambda: rng.choice(["host ", "address ", "client ", "logged in from ", "server ", "ping ", ""]) + rng.choice([f"2001:db8::{groups(1, 5)}", f"fe80::{groups(1, 4)}", "fe80::" + d(1), "2001:db8::" + d(1), f"2{d(3)}:{groups(1, 4)}::{d(1)}", f"fd{h(2)}:{d(2)}{h(2)}::", f"2a{d(2)}:{h(4)}:{h(3)}::{groups(1, 3)}"]),
+        lambda: rng.choice(["write to ", "mail ", ""]) + "".join(rng.choice(["ana", "li.wei", "j.smith", "omar", "tom99", "_"]) for _ in range(rng.randint(16, 30))) + rng.choice([" [at] ", " (at) ", "[at]"]) + "mail.example" + rng.choice([" [dot] ", " (dot) ", "."]) + "org",
+    ]
+    long_harmless = [
+        lambda: rng.choice(["commit ", "sha ", "digest ", "checksum "]) + h(rng.choice([128, 256])),
+        lambda: rng.choice(["", "the ", "and "]) + "".join(rng.choice(["ness", "tion", "ing", "er"]) for _ in range(rng.randint(45, 200))) + d(1),
+        lambda: rng.choice(["call ", "use ", "class ", "see ", ""]) + rng.choice(["add", "Abc", "cafe", "a", "fade", "dead", "Bad"]) + "::" + rng.choice(["", "dec", "b", "face", "Add", "fab", "bed"]),
+    ]
+    for i in range(n // 3):
+        label = i % 2
+        body = rng.choice(long_personal if label else long_harmless)()
+        out.append({"text": f"{rng.choice(['It was said that ', 'Then ', 'Of the and in ', ''])}{body}{rng.choice(['', '.', ' and more', ', he said', chr(34)])}", "label": label})
     return out
 
 
