@@ -83,6 +83,20 @@ def test_ngram_join_awkward(spark, awkward, nothing):
     assert {r.component_id for r in ngram_join.components(twice).collect()} == {3}
 
 
+def test_keep_one_goes_by_text_where_ids_repeat_or_lack(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c, d, e = (" ".join(words[k : k + 60]) for k in (0, 70, 140, 210, 280))
+    near = lambda text: text + " more"
+    rows = [(5, a), (5, b), (5, near(a)), (7, near(b)), (7, c), (None, d), (None, near(d)), (None, near(c)), (2, e), (None, e), (9, ""), (9, ""), (9, " "), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(5, a), (5, b), (7, c), (None, d), (2, e), (9, ""), (9, " "), (None, None), (None, "")]
+    for parts in (1, 3):
+        got = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs.repartition(parts)).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def near_vectors():
     rng = np.random.default_rng(1)
     rows = []

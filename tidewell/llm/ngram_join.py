@@ -317,13 +317,24 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is its component's smallest; of repeated rows with that id, one. All columns stay.
+    """The row with the smallest id of each group of linked texts. All columns stay.
 
-    Rows without an id have no place in a component and stay as they are.
+    Where ids are repeated or missing, each row gets a key of its own in the order of the ids, those without an id last,
+    and goes or stays by its own text. Of rows with the same id and text one stays, even if they have no words.
     """
-    found = components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(found, "doc_id", "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    doubtful = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is null or rows > 1")
+    if doubtful.isEmpty():
+        found = components(docs, n, percent).where("doc_id <> component_id").select("doc_id")
+        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    columns = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+    # Rows that are alike in id and text are told apart by their other columns, so that the keys don't depend on the run.
+    ordered = rows.orderBy(F.asc_nulls_last("id"), "text", F.xxhash64(F.to_json("row"))).withColumn("key", F.monotonically_increasing_id())
+    keyed, _ = materialize(ordered, "keyed")
+    copies = components(keyed.select(F.col("key").alias("doc_id"), "text"), n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("key"))
+    same = Window.partitionBy("id", F.sha2("text", 256)).orderBy("key")
+    again = keyed.where("id is not null").select("key", F.row_number().over(same).alias("nth")).where("nth > 1").select("key")
+    return keyed.join(copies.unionByName(again), "key", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
