@@ -8,10 +8,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,29 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """This application's folder in the one that driver and executors share; it goes when the driver ends.
+
+    Only a local master may do without a shared folder: on several machines each would write to its own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="tidewell-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return f"file://{_LOCAL[0]}"
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="tidewell-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], True)
+        root = f"file://{_LOCAL[0]}"
+    own = f"{root}/tidewell-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_sweep, spark, own)
+    return own
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """What lazily read results still had in the folder, at the end of the driver. A gateway that is gone can't."""
+    try:
+        discard(spark, path)
+    except Exception:
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
+    jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,8 +68,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+def salts(spark: SparkSession) -> int:
+    """Into how many parts a hot key is dealt: with the partitions, so more machines do shorten it."""
+    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def beside(rows: DataFrame, keys: str | list[str], salt: str, part: Column, whole: Column) -> DataFrame:
+    """rows with the aggregates `part` of (keys, salted) and then `whole` of those, over each key.
+
+    The aggregate comes back to its rows through the parts of its key, so neither join deals a key to one task.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts(rows.sparkSession))))
+    parts = dealt.groupBy(*keys, "_salt").agg(part)
+    named = parts.select(*keys, "_salt").join(parts.groupBy(*keys).agg(whole), keys)
+    return dealt.join(named, [*keys, "_salt"]).drop("_salt")
+
+
+def _sums(pairs: DataFrame) -> tuple:
+    exact = [F.sum(F.col(c).cast("decimal(38,0)")) for c in ("u", "v")]
+    return tuple(pairs.agg(F.count("*"), *exact).first())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -59,7 +95,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: two long columns. Returns (node, component) for every node that has an edge to another node.
     Alternates large-star and small-star steps until every node hangs from its component's smallest one,
-    as aggregates and joins only: no neighbour list is ever gathered, so hubs stay splittable.
+    as aggregates and joins only: no neighbour list is ever gathered, and a hub's edges are dealt by salt.
+    It ends when a round leaves the set of edges as it was.
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
@@ -69,26 +106,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     current, path = materialize(pairs, "edges")
-    state = _state(current)
-    for _ in range(max_rounds):
+    state = _sums(current)
+    least = F.min("v").alias("m"), F.min("m").alias("m")
+    for _ in range(max_rounds if state[0] else 0):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        large = beside(both, "u", "v", *least).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        near = beside(large, "u", "v", *least)
+        # The smallest neighbour stays with its node; the others go over to it.
+        small = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         following, new_path = materialize(small, "edges")
-        seen = _state(following)
+        seen = _sums(following)
+        settled = state == seen and following.join(current, ["u", "v"], "left_anti").isEmpty()
         discard(spark, path)
-        current, path = following, new_path
-        if state == seen:
+        current, path, state = following, new_path, seen
+        if settled:
             break
-        state = seen
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots)
