@@ -18,34 +18,30 @@ blocks, so a hub's partners are spread over tasks.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _Remembered
-from .common import connected_components, discard, materialize, release
+from .bpe import slices
+from .common import beside, connected_components, discard, materialize, release, salts, table
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
-BLOCK = 256
+BLOCK = 64
 #: Sets that list a hash up to which it is light. Decides where it stands in the order, not whether it counts.
 HEAVY = 64
 #: Ids up to which the doubles travel to every task (24 bytes each).
 BROADCAST_ROWS = 200_000
-_ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_WORD_HASHES = _Remembered(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8")), 500_000)
+#: Bytes of text that are hashed in one go; a longer word is hashed whole.
+WINDOW = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def words(text: str) -> list[str]:
-    text = text.lower() if text.isascii() else text.translate(_LOWER)
-    return _WORD.findall(text) if _ODD.search(text) else text.split()
+_STEP, _BASE = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,17 +50,98 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _byte_values() -> np.ndarray:
+    """A number for each byte, the same for A-Z and a-z, 0 for what separates words."""
+    values = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _STEP)
+    values[65:91] = values[97:123]
+    values[_SPACE] = 0
+    return values
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base % 2**64, np.uint64)])
+
+
+_BYTE, _LOW, _HIGH = _byte_values(), _powers(_BASE, 1 << 16), _powers(pow(_BASE, 1 << 16, 2**64), 1 << 12)
+
+
+def _window(data: np.ndarray, bounds: np.ndarray, low: int) -> int:
+    """Where the stretch from low ends, at most WINDOW on: after white space or at the start of a text."""
+    high = min(low + WINDOW, len(data))
+    if high == len(data):
+        return high
+    spaces = np.flatnonzero(_SPACE[data[low:high]])
+    cut = max(low + int(spaces[-1]) + 1 if len(spaces) else 0, int(bounds[np.searchsorted(bounds, high, side="right") - 1]))
+    if cut > low:
+        return cut
+    end = int(bounds[np.searchsorted(bounds, high, side="right")])
+    for at in range(high, end, WINDOW):  # one word fills the window
+        spaces = np.flatnonzero(_SPACE[data[at : min(at + WINDOW, end)]])
+        if len(spaces):
+            return at + int(spaces[0]) + 1
+    return end
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word `[^\\x20\\x09-\\x0D]+` of UTF-8 texts end to end, and before which word each text begins.
+
+    bounds: where each text begins, and the end. A word's hash is a polynomial in its bytes, A-Z as a-z.
+    """
+    hashes, places, low = [], [], 0
+    while low < len(data):
+        high = _window(data, bounds, low)
+        part = data[low:high]
+        word = ~_SPACE[part]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        inside = bounds[np.searchsorted(bounds, low, side="right") : np.searchsorted(bounds, high)] - low
+        first[inside] = word[inside]
+        starts = np.flatnonzero(first)
+        if len(starts):
+            lengths = np.diff(np.append(starts, len(part)))
+            at = np.arange(starts[0], len(part)) - np.repeat(starts, lengths)
+            power = _LOW[at & 0xFFFF]
+            if lengths.max() > 1 << 16:
+                power = power * _HIGH[(at >> 16) & 0xFFF]
+            hashes.append(np.add.reduceat(_BYTE[part[starts[0] :]] * power, starts - starts[0]))
+            places.append(starts + low)
+        low = high
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds)
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles; of the whole sequence where it is shorter; none
+    without words. A null text counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    each, of = word_hashes(data, bounds - bounds[0])
+    runs = {}
+    for k in range(1, n + 1):
+        counts = np.diff(of)
+        at = np.flatnonzero(counts == k) if k < n else np.flatnonzero(counts >= n)
+        if len(at):
+            starts = of[at] if k < n else np.arange(len(each) - n + 1)
+            total = np.full(len(starts), k, np.uint64)
+            for j in range(k):
+                total = _mix(total * _STEP + each[starts + j])
+            runs[k] = dict(zip(at.tolist(), total)) if k < n else total
+    none = np.zeros(0, np.uint64)
+    for i, (low, high) in enumerate(zip(of[:-1].tolist(), of[1:].tolist())):
+        words = high - low
+        if not words:
+            yield none
+        elif words < n:
+            yield runs[words][i].reshape(1)
+        else:
+            s = np.sort(runs[n][low : high - n + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; of the whole sequence where it is shorter; none without words."""
-    found = words(text or "")
-    if not found:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_WORD_HASHES.__getitem__, found), np.uint64, len(found))
-    k = min(n, len(each))
-    total = np.full(len(each) - k + 1, k, np.uint64)
-    for j in range(k):
-        total = _mix(total * _STEP + each[j : len(each) - k + 1 + j])
-    return np.unique(total)
+    return next(shingle_sets(pa.array([text], pa.string()), n))
 
 
 def need(size: int, percent: int) -> int:
@@ -87,9 +164,8 @@ def late_hashes(docs: DataFrame, n: int, cut: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_set(t, n) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                sets = list(shingle_sets(part.column(1), n))
                 yield _rows(part.column(0).to_pylist(), [[s[int(np.searchsorted(s, below, side="right")) :].view(np.int64) for s in sets]], schema)
 
     listed = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc long, late array<long>")
@@ -103,11 +179,9 @@ def list_sets(docs: DataFrame, n: int, cut: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1):
                 out = [[], [], [], []]
-                for text in part.column(1).to_pylist():
-                    s = shingle_set(text, n)
+                for s in shingle_sets(part.column(1), n):
                     digest = xxhash.xxh128_digest(s.tobytes())
                     lows = int(np.searchsorted(s, below, side="right"))
                     for column, value in zip(out, (len(s), int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), s[:lows].view(np.int64))):
@@ -179,8 +253,9 @@ class Trie:
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The (anchor, member) pairs whose sets link. Members come in blocks of about BLOCK beside their anchor's set."""
     pairs = pairs.select("anchor", "member").distinct()
+    sized = beside(pairs, "anchor", "member", F.count("*").alias("n"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = sized.select("anchor", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member", F.lit(1).alias("role"))
     sizes = pairs.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "anchor").select("anchor", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member", F.lit(1).alias("role"))
     anchors = sizes.select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("anchor").alias("member"), F.lit(0).alias("role"))
     wanted = members.unionByName(anchors)
     involved = wanted.select(F.col("member").alias("doc_id")).distinct()
@@ -189,9 +264,8 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield _rows(part.column(0).to_pylist(), [[shingle_set(t, n).tobytes() for t in part.column(1).to_pylist()]], schema)
+            for part in slices(batch, 1):
+                yield _rows(part.column(0).to_pylist(), [[s.tobytes() for s in shingle_sets(part.column(1), n)]], schema)
 
     hashed = texts.mapInArrow(sets, "member long, hashes binary")
     dealt = wanted.join(hashed, "member").select("anchor", "block", "role", "member", "hashes")
@@ -245,12 +319,15 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     cut = min(1.0, 2 * (100 - percent) / 100)
-    wide, wide_path = materialize(list_sets(docs, n, cut), "shingles")
-    listed, _ = materialize(wide.select("doc_id", "size", "d1", "d2"), "digests")
-    classes, _ = materialize(listed.where("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    # The salt is drawn once and written: a class of equal sets meets its smallest id through parts, so that no task
+    # gets a whole class, be it a third of all rows. Empty sets take no part.
+    wide, wide_path = materialize(list_sets(docs, n, cut).withColumn("salt", F.floor(F.rand(11) * salts(spark)).cast("int")), "shingles")
+    listed, _ = materialize(wide.select("doc_id", "size", "d1", "d2", "salt"), "digests")
+    parts = listed.where("size > 0").groupBy("d1", "d2", "salt").agg(F.min("doc_id").alias("rep"))
+    classes, _ = materialize(parts.drop("rep").join(parts.groupBy("d1", "d2").agg(F.min("rep").alias("rep")), ["d1", "d2"]), "classes")
     # Sets so small that only equal ones link need no candidates: need(size + 1) > size.
     linkable = wide.where(F.expr(f"100 * size >= {percent} * (size + 1)"))
-    doubles, doubles_path = materialize(listed.where("size > 0").select("d1", "d2", "doc_id").join(classes, ["d1", "d2"]).where("doc_id > rep").select("doc_id", "d1", "d2").distinct(), "doubles")
+    doubles, doubles_path = materialize(listed.where("size > 0").drop("size").join(classes, ["d1", "d2", "salt"]).where("doc_id > rep").select("doc_id", "d1", "d2").distinct(), "doubles")
     # Few doubles travel to the lists of hashes; many are joined by a shuffle of the lists.
     chosen = linkable.join(F.broadcast(doubles) if doubles.count() <= BROADCAST_ROWS else doubles, ["doc_id", "d1", "d2"], "left_anti").where("doc_id is not null")
     # One row an id; an id with several texts keeps all its hashes and skips the filters by size and place.
@@ -284,9 +361,9 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     ranked = votes.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "anchor")))
     near = ranked.where("rank <= 2").select("anchor", F.col("doc").alias("member"))
     # An id that stands at several texts is one node: it links their classes.
-    texts_of = listed.where("size > 0 and doc_id is not null").select("doc_id", "d1", "d2").distinct()
-    several = texts_of.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
-    same_id = texts_of.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("anchor"), F.col("rep").alias("member")).where("anchor <> member")
+    texts_of = listed.where("size > 0 and doc_id is not null").drop("size").distinct()
+    several = texts_of.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("texts")).where("texts > 1").select("doc_id")
+    same_id = texts_of.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2", "salt"]).select(F.col("doc_id").alias("anchor"), F.col("rep").alias("member")).where("anchor <> member").distinct()
     first_edges, _ = materialize(verify(near, docs, n, percent).unionByName(same_id), "links")
     release(spark)
     first = connected_components(first_edges)
@@ -312,8 +389,10 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
         first = connected_components(edges)
     discard(spark, prefixes_path)
     discard(spark, pairs_path)
-    labels = classes.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return listed.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "d1", "d2").join(labels, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = classes.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "salt", F.coalesce("component", "rep").alias("component_id"))
+    count = F.col("size").cast("long").alias("n_shingles")
+    held = listed.where("size > 0").join(labels, ["d1", "d2", "salt"]).select("doc_id", count, "component_id")
+    return held.unionByName(listed.where("size = 0").select("doc_id", count, F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -338,6 +417,5 @@ def keep_one(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCENT
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
+    """Components of the documents that link at 85 % over 4-word shingles; see components for awkward rows."""
     return components(table(spark, sf_dir, "documents"), n=4, percent=85)
