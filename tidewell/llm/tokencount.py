@@ -37,7 +37,7 @@ class PieceCounter:
         self.longest = max(map(len, self.rank), default=1)
         numbers = {piece: i for i, piece in enumerate(self.rank)}
         self.batch = BatchMerger([(numbers[p[:k]], numbers[p[k:]], self.rank[p], i) for p, i in numbers.items() for k in range(1, len(p)) if p[:k] in numbers and p[k:] in numbers])
-        self.number = np.full(0x110000, -1, dtype=np.int64)
+        self.number = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in numbers.items():
             if len(piece) == 1:
                 self.number[ord(piece)] = i
@@ -55,15 +55,12 @@ class PieceCounter:
                     known.put(p, 1)
                 elif len(p) <= BatchMerger.WIDTH:
                     lacking.append(p)
-        for at in range(0, len(lacking), 20_000):
-            some = lacking[at : at + 20_000]
-            lengths = np.array([len(p) for p in some])
-            held = np.arange(lengths.max()) < lengths[:, None]
-            rows = np.full(held.shape, -1, dtype=np.int64)
-            rows[held] = self.number[np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32)]
-            sure = ((rows >= 0) == held).all(axis=1)  # characters out of the vocabulary are left to the other path
-            counts = self.batch(rows, lengths).tolist()
-            for p, n, ok in zip(some, counts, sure.tolist()):
+        if lacking:
+            lengths = np.array([len(p) for p in lacking])
+            symbols = self.number[np.frombuffer("".join(lacking).encode("utf-32-le"), dtype=np.uint32)]
+            sure = np.minimum.reduceat(symbols, np.cumsum(lengths) - lengths) >= 0  # characters out of the vocabulary are left to the other path
+            counts, _ = self.batch.merge(symbols, lengths)
+            for p, n, ok in zip(lacking, counts.tolist(), sure.tolist()):
                 if ok:
                     known.put(p, n)
 
@@ -160,7 +157,11 @@ def piece_counter(path: str) -> PieceCounter:
 
 
 def count_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every text; a null text counts as empty. One pass, no shuffle."""
+    """doc_id, n_bytes, n_tokens, over_limit of every text; a null text counts as empty. One pass, no shuffle.
+
+    Repeated rows are counted as they come; an empty table gives none; other columns are left aside, so their names don't
+    matter; very long texts are counted whole.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
@@ -174,6 +175,7 @@ def count_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of the documents; see count_documents for awkward rows."""
     import public_tokenizers
 
     from .common import table
