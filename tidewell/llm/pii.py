@@ -5,9 +5,13 @@ overlap; every proposal gets features of its form and of the words around it, co
 from boosted trees that are written out as CASE expressions. Each kind has the threshold that reached PRECISION on rows
 kept back. A proposal is dropped where it meets a base span, or a proposal of higher score (then earlier start).
 
-The trees are fitted on a fixed set of generated sentences (no corpus rows), whose features come from the same
-expressions; only that small table of numbers reaches the driver. Places: `split` gives what lies between the matches
-of a pattern and `regexp_extract_all` the matches, so a fold over their lengths in code points gives every start.
+The trees are fitted on generated sentences (no corpus rows), the thresholds on sentences of other templates in four
+languages; features come from the same expressions, and only that small table of numbers reaches the driver.
+
+Places: `split` gives what lies between the matches of a pattern and `regexp_extract_all` the matches. Arrays have no
+running sum, and a fold that appends copies what it has, so everything that grows with the matches of a text goes in
+blocks: sums over blocks first, then inside each; overlaps are looked for among blocks that touch, and pieces of text
+are cut from a block's stretch. So a text's cost stays near its length, however many numbers it holds.
 """
 
 from __future__ import annotations
@@ -57,11 +61,11 @@ FEATURES = {
     "hex_only": "cast(x.body rlike '^[0-9a-f]+$' as int)",
     "capitals": "length(regexp_replace(x.body, '[^A-Z]', ''))",
     "opens": "cast(substring(x.body, 1, 1) = '(' as int)",
-    "says_call": "cast(x.before rlike '(?i)phone|tel|call|mobile|fax|dial|cell|whatsapp|sms' as int)",
-    "says_ssn": "cast(x.before rlike '(?i)ssn|social|insurance' as int)",
-    "says_bank": "cast(x.before rlike '(?i)iban|account|bank|transfer' as int)",
-    "says_secret": "cast(x.before rlike '(?i)token|secret|passw|api.?key|key|auth|bearer|credential' as int)",
-    "says_other": "cast(x.before rlike '(?i)version|page|order|item|isbn|date|year|chapter|section|commit|sha|digest|checksum|ratio|score|from|id' as int)",
+    "says_call": "cast(x.before rlike '(?iu)phone|t[eé]l|call|mobile|fax|dial|cell|whatsapp|sms|handy|ruf|m[oó]vil|llam|appel|portable|anruf' as int)",
+    "says_ssn": "cast(x.before rlike '(?iu)ssn|social|insurance|sozial|versicherung|s[eé]cu' as int)",
+    "says_bank": "cast(x.before rlike '(?iu)iban|account|bank|transfer|konto|cuenta|compte|virement|berweis' as int)",
+    "says_secret": "cast(x.before rlike '(?iu)token|secret|passw|api.?key|key|auth|bearer|credential|contrase|clave|schl|geheim|jeton|mot de passe|cl[eé]' as int)",
+    "says_other": "cast(x.before rlike '(?iu)version|page|order|item|isbn|date|year|chapter|section|commit|sha|digest|checksum|ratio|score|from|seite|kapitel|p[aá]gina|cap[ií]tulo|chapitre|artikel|art[ií]culo|bestell|pedido|commande|jahr|a[nñ]o|ann[eé]e|prüfsumme|somme|suma|\\\\bid\\\\b' as int)",
     "assigned": "cast(x.before rlike '[=:] ?[\"\\']?$' as int)",
     "quoted": "cast(substring(x.after, 1, 1) in ('\"', '\\'') as int)",
 }
@@ -72,17 +76,46 @@ def _q(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with name standing for value, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _blocks(array: str, n: str) -> str:
+    """The array in runs of n; array is a name."""
+    return f"case when size({array}) = 0 then array() else transform(sequence(1, size({array}), {n}), i -> slice({array}, i, {n})) end"
+
+
+def _span(kind: int, start: str) -> str:
+    return f"named_struct('start', {start}, 'end', {start} + length(x.body), 'kind', {kind}, 'body', x.body)"
+
+
+_SPANS = "array<struct<start:int,end:int,kind:int,body:string>>"
+_NONE = f"cast(array() as {_SPANS})"
+
+
 def _found(kind: int, pattern: str, when: str) -> str:
-    """array<struct<kind, start, end, body>> of the pattern's matches."""
+    """array<struct<start, end, kind, body>> of the pattern's matches."""
     p = _q(pattern)
-    empty = "cast(array() as array<struct<kind:int,start:int,end:int,body:string>>)"
-    fold = f"""aggregate(
-      filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('gap', g, 'body', m)), x -> x.body is not null),
-      named_struct('at', 0, 'all', {empty}),
-      (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.body), 'all', array_append(a.all,
-        named_struct('kind', {kind}, 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.body), 'body', x.body))),
-      a -> a.all)"""
-    return f"case when {when} then {fold} else {empty} end"
+    parts = f"filter(zip_with(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), (g, m) -> named_struct('gap', length(g), 'body', m)), x -> x.body is not null)"
+    starts = "slice(aggregate(bs, array(0), (a, b) -> array_append(a, element_at(a, -1) + aggregate(b, 0, (t, x) -> t + x.gap + length(x.body)))), 1, size(bs))"
+    fold = f"""aggregate(b, named_struct('at', s, 'all', {_NONE}),
+      (a, x) -> named_struct('at', a.at + x.gap + length(x.body), 'all', array_append(a.all, {_span(kind, "a.at + x.gap")})), a -> a.all)"""
+    placed = _let("bs", _blocks("p", "cast(greatest(64, sqrt(size(p))) as int)"), f"flatten(zip_with(bs, {starts}, (b, s) -> {fold}))")
+    return f"case when {when} then {_let('p', parts, f'case when size(p) = 0 then {_NONE} else {placed} end')} else {_NONE} end"
+
+
+def _framed(array: str) -> str:
+    """An array of spans, sorted by start, in blocks with the stretch of text that each takes; array is a name."""
+    return f"transform({_blocks(array, '64')}, b -> named_struct('low', element_at(b, 1).start, 'high', array_max(transform(b, x -> x.end)), 'b', b))"
+
+
+def _clear(spans: str, others: str, beats: str = "true") -> str:
+    """The spans that no other `o` overlaps for which `beats` holds. Both are names of sorted arrays."""
+    touching = "flatten(transform(filter(os, q -> q.low < f.high and f.low < q.high), q -> q.b))"
+    left = _let("near", touching, f"filter(f.b, x -> not exists(near, o -> o.start < x.end and x.start < o.end and ({beats})))")
+    whole = _let("os", _framed(others), f"flatten(transform({_framed(spans)}, f -> {left}))")
+    return f"case when size({spans}) = 0 or size({others}) = 0 then {spans} else {whole} end"
 
 
 def _luhn(digits: str) -> str:
@@ -103,18 +136,24 @@ def with_base(docs: DataFrame) -> DataFrame:
     """docs with `base`: the checked spans of the four base kinds by kind, then start. A null text has none."""
     out = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("digits", F.expr("text rlike '[0-9]'"))
     found = [f"filter({_found(KINDS.index(k), p, NEEDS[k])}, x -> {CHECKS[k]})" for k, p in BASE.items()]
-    return out.withColumn("base", F.expr(f"case when digits or contains(text, '@') then concat({', '.join(found)}) else cast(array() as array<struct<kind:int,start:int,end:int,body:string>>) end"))
+    return out.withColumn("base", F.expr(f"case when digits or contains(text, '@') then concat({', '.join(found)}) else {_NONE} end"))
 
 
 def with_proposals(docs: DataFrame) -> DataFrame:
-    """Adds `proposals`: what the generators offer and no base span touches, each with its features."""
+    """Adds `proposals`, by start: what the generators offer and no base span touches, each with its features."""
     found = [_found(KINDS.index(k), p, when) for k, p, when in GENERATORS]
     values = ", ".join(f"'{name}', cast({e} as int)" for name, e in FEATURES.items())
+    # Looked up in a block's stretch of the text: a cut from a text costs its place in it.
+    seen = "named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'body', x.body, 'before', substring(t, greatest(x.start - 24 - o, 0) + 1, x.start - o - greatest(x.start - 24 - o, 0)), 'after', substring(t, x.end - o + 1, 2))"
+    stretch = "substring(text, greatest(f.low - 24, 0) + 1, f.high + 2 - greatest(f.low - 24, 0))"
+    with_text = f"flatten(transform({_framed('proposals')}, f -> {_let('o', 'greatest(f.low - 24, 0)', _let('t', stretch, f'transform(f.b, x -> {seen})'))}))"
     return (
-        docs.withColumn("proposals", F.expr(f"concat({', '.join(found)})"))
-        .withColumn("proposals", F.expr("filter(proposals, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"))
-        .withColumn("proposals", F.expr("transform(proposals, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'body', x.body, 'before', substring(text, greatest(x.start - 24, 0) + 1, least(24, x.start)), 'after', substring(text, x.end + 1, 2)))"))
-        .withColumn("proposals", F.expr(f"transform(proposals, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'f', named_struct({values})))"))
+        docs.withColumn("proposals", F.expr(f"array_sort(concat({', '.join(found)}))"))
+        .withColumn("sorted_base", F.expr("case when size(proposals) = 0 then base else array_sort(base) end"))
+        .withColumn("proposals", F.expr(_clear("proposals", "sorted_base")))
+        .withColumn("proposals", F.expr(with_text))
+        .withColumn("proposals", F.expr(f"transform(proposals, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'f', named_struct({values})))"))
+        .drop("sorted_base")
     )
 
 
@@ -172,6 +211,36 @@ def sentences(seed: int = 3, n: int = 900) -> list[dict]:
     return out
 
 
+def calibration(seed: int = 17, n: int = 1200) -> list[dict]:
+    """Texts of other templates than `sentences`, in four languages and in logs and forms, one span each."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    d = lambda k: "".join(pick("0123456789") for _ in range(k))
+    h = lambda k: "".join(pick("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz0123456789_") for _ in range(k - 3)) + "A" + d(2)
+    word = lambda: "".join(pick("bdfglmnprst") + pick("aeiou") for _ in range(rng.randint(1, 4)))
+    phone = lambda: pick([f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"0{d(3)} {d(4)} {d(3)}", f"{d(3)}.{d(3)}.{d(4)}"])
+    personal = [
+        lambda: pick(["Reach us by phone: ", "Sie erreichen uns per Telefon ", "Llámenos al teléfono ", "Appelez le ", "Rufen Sie an: ", "Mon portable: ", "Mi móvil es ", "Handy ", "TEL. ", "fax no. "]) + phone(),
+        lambda: pick(["ssn=", "Social Security No. ", "numéro de sécu ", "seguro social ", "Sozialversicherung: "]) + f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: pick(["Konto: ", "sur le compte ", "a la cuenta ", "virement vers ", "pay into account ", "IBAN: "]) + pick(["DE", "ES", "IT", "AT", "NL"]) + d(2) + " " + " ".join(d(4) for _ in range(rng.randint(4, 5))),
+        lambda: pick(["export API_TOKEN=", "Passwort: ", "la contraseña es ", "mot de passe: ", "clave secreta: ", "client_secret: '", "Authorization: Bearer ", "der Schlüssel lautet "]) + pick([mixed(28), mixed(48), "ghp_" + mixed(33), "AKIA" + mixed(24), h(32), h(40)]),
+        lambda: pick(["Contact: ", "schreiben Sie an ", "escriba a ", "écrivez à ", "mailto "]) + word() + pick([".", "_", ""]) + word() + pick([" [at] ", " (at) ", "(at)"]) + word() + pick([" [dot] ", " (dot) ", "."]) + pick(["com", "net", "de", "es"]),
+        lambda: pick(["Adresse ", "from host ", "dirección ", "peer ", "listen on "]) + pick([":".join(h(4) for _ in range(8)), f"2001:db8:{h(2)}::{h(3)}", f"fe80::{h(4)}:{h(4)}"]),
+    ]
+    harmless = [
+        lambda: pick(["Seite ", "página ", "voir page ", "Kapitel ", "see chapter ", "artículo "]) + f"{d(2)}-{d(2)}",
+        lambda: pick(["am ", "el ", "le ", "dated ", "vom ", "fecha "]) + pick([f"19{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}.0{d(1)}.20{d(2)}"]),
+        lambda: pick(["Bestellung ", "pedido ", "commande ", "order no ", "Artikel "]) + f"{d(3)}-{d(2)}-{d(4)}",
+        lambda: pick(["Prüfsumme ", "suma ", "somme de contrôle ", "git commit ", "sha1: ", "digest = "]) + pick([h(40), h(64)]),
+        lambda: pick(["zwischen ", "entre ", "from ", "années ", "Jahre "]) + f"18{d(2)}-19{d(2)}",
+        lambda: pick(["insgesamt ", "en total ", "about ", "environ "]) + f"{d(2)} {d(3)} {d(3)}",
+        lambda: pick(["class ", "el ", "le mot ", "das Wort "]) + "".join(word() for _ in range(6)) + "x" * 8 + d(1),
+        lambda: pick(["namespace ", "voir ", "siehe "]) + pick(["Face", "abc", "dab"]) + "::" + pick(["Cafe", "add", ""]),
+    ]
+    return [{"text": f"{pick(['', 'Hola, ', 'Guten Tag. ', 'Bonjour, ', 'INFO '])}{pick(personal if i % 2 else harmless)()}{pick(['', '.', ';', ' merci', ' danke', chr(39)])}", "label": i % 2} for i in range(n)]
+
+
 class Trees:
     """Gradient boosting for logistic loss on small integer features, by exact greedy splits."""
 
@@ -230,14 +299,20 @@ class Trees:
 _FITTED: dict[tuple, tuple] = {}
 
 
+def _featured(spark, rows: list[dict]) -> list[tuple[tuple, int]]:
+    """Features and label of each proposal in generated texts; the personal one's other finds count as personal."""
+    texts = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<text:string,label:int>>")).alias("s")).select("s.text", "s.label")
+    # An inner explode would have its filter on `proposals` pushed down, and the expression written out at every mention.
+    found = with_proposals(with_base(texts)).select("label", F.explode_outer("proposals").alias("x")).where("x is not null").select("label", "x.f.*").collect()
+    return [(tuple(r[n] or 0 for n in FEATURES), r.label) for r in found]
+
+
 def fit(spark, seed: int = 3, precision: float = PRECISION) -> tuple[Trees, dict[int, float]]:
-    """Trees and a margin threshold for each kind. The same for every session, so it is kept in the driver."""
+    """Trees, and for each kind the lowest margin from which on the calibration texts reach the precision; at least 0.
+    The same for every session, so it is kept in the driver."""
     if (seed, precision) in _FITTED:
         return _FITTED[seed, precision]
-    texts = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(sentences(seed))), "array<struct<text:string,label:int>>")).alias("s")).select("s.text", "s.label")
-    rows = with_proposals(with_base(texts)).select("label", F.explode("proposals").alias("x")).select("label", "x.f.*").collect()
-    rows = [(tuple(r[n] or 0 for n in FEATURES), r.label) for r in rows]
-    train, back = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
+    train, back = _featured(spark, sentences(seed)), _featured(spark, calibration(seed + 14))
     trees = Trees([x for x, _ in train], [y for _, y in train])
     thresholds = {}
     for kind in range(len(KINDS)):
@@ -256,11 +331,13 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """docs with `base` and `spans`: array<struct<kind, start, end>> by kind, then start; text is never null."""
     trees, thresholds = fit(docs.sparkSession)
     limits = "array(" + ", ".join(f"{thresholds[k]:.6f}D" for k in range(len(KINDS))) + ")"
+    better = "o.m > x.m or (o.m = x.m and (o.start < x.start or (o.start = x.start and (o.end > x.end or (o.end = x.end and o.kind < x.kind)))))"
+    plain = "named_struct('kind', x.kind, 'start', x.start, 'end', x.end)"
     return (
         with_proposals(with_base(docs))
-        .withColumn("scored", F.expr(f"filter(transform(proposals, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'm', {trees.sql()})), x -> x.m >= element_at({limits}, x.kind + 1))"))
-        .withColumn("scored", F.expr("filter(scored, x -> not exists(scored, o -> o.start < x.end and x.start < o.end and (o.m > x.m or (o.m = x.m and (o.start < x.start or (o.start = x.start and (o.end > x.end or (o.end = x.end and o.kind < x.kind))))))))"))
-        .withColumn("spans", F.expr("array_sort(concat(transform(base, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end)), transform(scored, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end))))"))
+        .withColumn("scored", F.expr(f"filter(transform(proposals, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'm', {trees.sql()})), x -> x.m >= element_at({limits}, x.kind + 1))"))
+        .withColumn("scored", F.expr(_clear("scored", "scored", better)))
+        .withColumn("spans", F.expr(f"array_sort(concat(transform(base, x -> {plain}), transform(scored, x -> {plain})))"))
         .drop("proposals", "scored", "digits")
     )
 
@@ -273,25 +350,39 @@ def _joined(spans: str) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """A row a document: counts of the base kinds, digest of the base spans, all spans. Null and empty texts have none."""
+    """A row a document: counts of the base kinds, digest of the base spans, all spans.
+
+    Null and empty texts have none; repeated rows are read as they come; an empty table gives none; other columns are
+    left aside, so their names don't matter; very long texts are read whole, their matches in blocks.
+    """
     found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {KINDS.index(k)})) as long)").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The columns of docs with every span of `text` replaced by its kind in brackets; a null text stays null."""
+    """The columns of docs with every span of `text` replaced by its kind in brackets; a null text stays null.
+
+    Of spans that overlap, the first by start is replaced. Repeated rows, long texts and an empty table: as in report.
+    """
     columns = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("text"))
     kinds = f"upper(element_at({_NAMES}, x.kind + 1))"
-    text = F.expr(f"""aggregate(array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind))), named_struct('at', 0, 'out', ''),
-      (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '[', {kinds}, ']'), a.out)),
-      a -> if(a.at = 0, text, concat(a.out, substring(text, a.at + 1))))""")
+    # Where each block's stretch of the text begins: the furthest end before it. Inside, places count from there.
+    begins = "slice(aggregate(bs, array(0), (a, b) -> array_append(a, greatest(element_at(a, -1), array_max(transform(b, x -> x.end))))), 1, size(bs))"
+    fold = f"""aggregate(b, named_struct('at', 0, 'out', ''),
+      (a, x) -> named_struct('at', greatest(a.at, x.end - s), 'out', if(x.start - s >= a.at, concat(a.out, substring(t, a.at + 1, x.start - s - a.at), '[', {kinds}, ']'), a.out)), a -> a.out)"""
+    stretch = "substring(text, s + 1, greatest(array_max(transform(b, x -> x.end)) - s, 0))"
+    pieces = f"array_join(zip_with(bs, {begins}, (b, s) -> {_let('t', stretch, fold)}), '')"
+    rest = "substring(text, array_max(transform(spans, x -> x.end)) + 1)"
+    ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
+    text = F.expr(f"case when size(spans) = 0 then text else concat({_let('p', ordered, _let('bs', _blocks('p', '256'), pieces))}, {rest}) end")
     done = with_spans(inner).withColumn("text", F.when(F.col("row").getField("text").isNotNull(), text))
     return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text of the documents; see report for awkward rows."""
     from .common import table
 
     return report(table(spark, sf_dir, "documents"))
