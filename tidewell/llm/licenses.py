@@ -173,7 +173,8 @@ def word_counts(docs: DataFrame) -> dict[str, int]:
 def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """One row a document: words, base places, labels, and the largest containment as score (1 with a base label).
 
-    Null and empty texts have 0 words, no labels and score 0; repeated rows are scanned as they come.
+    Null and empty texts have 0 words, no labels and score 0; repeated rows are scanned as they come; an empty table gives
+    none; other columns are left aside, so their names don't matter; very long texts are scanned whole.
     """
     index = Index(word_counts(docs), containment)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
@@ -200,19 +201,20 @@ def scan(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """License statements in every whole text of the documents; see scan for awkward rows."""
     from .common import table
 
     return scan(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
-    """By brute force: every line and pair of lines against every template."""
+    """By brute force: every line, pair of lines and run of words against every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     base = " UNION ALL ".join(
         f"SELECT doc_id, row_no, i - 1 AS place, '{label}' AS label FROM starts WHERE " + " AND ".join(f"words[i + {k}] = '{p}'" for k, p in enumerate(phrase.split())) for phrase, label in BASE
     )
-    values = ", ".join(f"('{label}', {sorted(set(WORD.findall(t)))!r})" for label, t in TEMPLATES)
+    values = ", ".join(f"({k}, '{label}', {sorted(set(WORD.findall(t)))!r}, {-(-len(WORD.findall(t)) * 5 // 4)})" for k, (label, t) in enumerate(TEMPLATES))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, {lowered} AS body FROM documents),
 w AS (SELECT row_no, doc_id, regexp_extract_all(body, '{word}') AS words FROM d),
@@ -222,8 +224,10 @@ b AS (SELECT row_no, count(*) AS n_base, min(place) AS first_word, max(place) AS
 lines AS (SELECT row_no, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS k FROM d),
 sets AS (SELECT row_no, k, list_distinct(regexp_extract_all(line, '{word}')) AS s FROM lines),
 blocks AS (SELECT row_no, s FROM sets UNION ALL SELECT a.row_no, list_distinct(list_concat(a.s, z.s)) FROM sets a JOIN sets z ON a.row_no = z.row_no AND z.k = a.k + 1),
-templates(label, t) AS (VALUES {values}),
-shares AS (SELECT row_no, label, len(list_intersect(t, s)) AS shared, len(t) AS n FROM blocks, templates),
+templates(k, label, t, run) AS (VALUES {values}),
+places AS (SELECT row_no, k, run, i, word FROM (SELECT row_no, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w) JOIN (SELECT k, run, unnest(t) AS word FROM templates) USING (word)),
+runs AS (SELECT a.row_no, a.k, a.i, count(DISTINCT z.word) AS shared FROM places a JOIN places z ON a.row_no = z.row_no AND a.k = z.k AND z.i BETWEEN a.i AND a.i + a.run - 1 GROUP BY ALL),
+shares AS (SELECT row_no, label, len(list_intersect(t, s)) AS shared, len(t) AS n FROM blocks, templates UNION ALL SELECT row_no, label, shared, len(t) FROM runs JOIN templates USING (k)),
 m AS (SELECT row_no, label, max(CAST(shared AS DOUBLE) / n) AS share FROM shares WHERE 10 * shared >= 8 * n GROUP BY row_no, label),
 al AS (SELECT row_no, label, share FROM m UNION ALL SELECT row_no, label, 1.0 FROM base),
 g AS (SELECT row_no, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM al GROUP BY row_no)

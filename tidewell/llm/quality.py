@@ -28,7 +28,7 @@ REPEAT, LINE_REPEAT = "<again>", "<line again>"
 
 
 def shape(word: str) -> str:
-    return _TWICE.sub(r"\1", _DIGITS.sub("9", _CAPS.sub("A", _SMALL.sub("a", word))))[:8]
+    return _TWICE.sub(r"\1", _DIGITS.sub("9", _CAPS.sub("A", _SMALL.sub("a", word))))
 
 
 def index_vector(item: str) -> np.ndarray:
@@ -155,7 +155,11 @@ def learn(rows: list[tuple[str, int]], min_texts: int = 3, epochs: int = 150, se
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score of every whole text; null texts count as empty, which pool to zeros. One pass, no shuffle."""
+    """doc_id and score of every whole text; null texts count as empty, which pool to zeros. One pass, no shuffle.
+
+    Repeated rows are scored as they come; an empty table gives none; other columns are left aside, so their names don't
+    matter; very long texts count with all their words.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's vocabulary
 
@@ -173,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Quality
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of the documents; see score_documents for awkward rows."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

@@ -183,7 +183,11 @@ def _logistic(x: list[float], y: list[int], ridge: float = 1e-3) -> tuple[float,
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score, n_hits of every whole text; null and empty texts score as texts without a hit. No shuffle."""
+    """doc_id, score, n_hits of every whole text; null and empty texts score as texts without a hit. No shuffle.
+
+    Repeated rows are scored as they come; an empty table gives none; other columns are left aside, so their names don't
+    matter; very long texts are matched whole.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64())])
 
     def run(batches):
@@ -199,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose text scores below the threshold. Works row by row; repeated ids don't matter."""
+    """The rows of docs, all columns, whose text scores below the threshold. Works row by row: repeated rows stay or go
+    alike, names of other columns don't matter, null and empty texts score as texts without a hit."""
     schema = docs.schema
     place = docs.columns.index("text")
 
@@ -212,6 +217,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of the documents; see score_documents for awkward rows."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")

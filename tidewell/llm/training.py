@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that a classifier is fitted on at most: the bound of what reaches the driver.
-MAX_ROWS = 6000
+#: Labelled rows, and bytes of their texts, that a classifier is fitted on at most: the bounds of what reaches the driver.
+MAX_ROWS, MAX_BYTES = 6000, 32_000_000
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out_fold: int, max_rows: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """Up to max_rows (text, label) pairs outside the held-out fold, the same ones on every run.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out_fold: int, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """Up to max_rows (text, label) pairs of max_bytes together, outside the held-out fold, the same ones on every run.
 
-    The rows are chosen among the ids alone, in order of a hash, so only chosen texts travel; the broadcast side has
-    max_rows rows at most. Rows without a 0/1 label are left out; an id labelled twice counts once, by its larger label.
+    Ids are chosen in order of a hash, so only chosen texts travel; the broadcast side has max_rows rows at most. Rows
+    without a 0/1 label are left out; an id labelled twice counts once, by its larger label; an id with several texts
+    counts once, by the text of the smallest hash. In the same order, whole texts are taken until their bytes reach the
+    bound: a text that would pass it is left out with those after it. A null text counts as empty; empty tables give none.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -22,10 +24,13 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id", F.lit(20240)), "doc_id").limit(max_rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return [(r.text or "", r.label) for r in rows]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    # No more than max_rows rows come to this window.
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(20240)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = one.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "text", "label").collect()
+    rows.sort(key=lambda r: r.doc_id)
+    return [(r.text, r.label) for r in rows]
 
 
 def held_out(folds: int, held_out_fold: int):
