@@ -1,12 +1,13 @@
 """Ops 2 and 10: held-out accuracy, folding, exceptions, awkward rows."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import queries, quality, toxicity
+from tidewell.llm import queries, quality, toxicity, training
 
 DIR = "/root/testdata/sf0.1"
 
@@ -50,6 +51,45 @@ def test_every_shape_has_a_vector():
     assert one == pytest.approx((model.shape_vectors[0] + model.shape_vectors[model.shapes[marks[0]]]) / 2)
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b" * 300), (3, "c" * 300), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (1, 1, 2, 3, 4)], "doc_id long, quality int, toxic int")
+    every = training.labelled_texts(docs, labels, "quality", 3, 5)
+    assert sorted(len(t) for t, _ in every) == [0, min(len(f"text {i}") for i in range(500)) if len(every[0][0]) == 6 else len(every[0][0]), 300, 300] and len(every) == 4
+    assert every == training.labelled_texts(docs.repartition(3), labels, "quality", 3, 5)
+    assert len(training.labelled_texts(docs, labels, "quality", 3, 5, max_rows=2)) == 2
+    assert sum(len(t) for t, _ in training.labelled_texts(docs, labels, "quality", 3, 5, max_bytes=350)) <= 350
+
+
+def test_matches_against_a_plain_search():
+    rng = random.Random(5)
+    parts = ["id", "10t", "idiot", "trash", "can", "trash can", "tr4sh", "ЅСum", "scum", " ", ".", "l", "1", "é", "\u200b", "I", "clown", "fish"]
+    model = toxicity.ToxicityModel({"idiot": 5.0, "trash": 3.0, "scum": 2.5, "clown": 1.0}, ("trash can", "clown fish"))
+    for _ in range(3000):
+        text = toxicity.shown("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))))
+        plain = [toxicity.FOLDING.get(ord(c), c) for c in text]
+        at = lambda word: [i for i in range(len(text) - len(word) + 1) if plain[i : i + len(word)] == list(toxicity.fold(word)) and not (i and text[i - 1].isalnum()) and not (i + len(word) < len(text) and text[i + len(word)].isalnum())]
+        excused = [(i, i + len(p)) for p in model.exceptions for i in at(p)]
+        want = sorted((i, i + len(w), weight) for w, weight in model.lexicon.items() for i in at(w) if not any(a <= i and i + len(w) <= b for a, b in excused))
+        assert sorted(model.hits(text)) == want, text
+
+
+def test_pooling_against_plain_sums():
+    rng = random.Random(6)
+    words = ["alpha", "Beta", "GAMMA", "x1", "42", "--", "q", "ß"]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    model = quality._vectors([(t, 1) for t in texts], 3)
+    for text in texts:
+        found, lines = text.split(), text.split("\n")
+        if found:
+            rows = [model.words.get(w.lower(), len(model.words) + model.shapes.get(quality.shape(w), 0)) for w in found]
+            kinds = [model.shapes.get(quality.shape(w), 0) for w in found]
+            again = len(found) - len(set(found))
+            by_shape = sum(model.shape_vectors[k] for k in kinds) + again * model.shape_vectors[-2] + (len(lines) - len(set(lines))) * len(found) / len(lines) * model.shape_vectors[-1]
+            want = np.concatenate([sum(model.word_vectors[r] for r in rows) / len(found), by_shape / len(found), [np.log1p(len(found)), again / len(found)]])
+            assert model.pool(text) == pytest.approx(want)
+
+
 def test_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (3, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     t, q = toxicity.fit(awkward, labels), quality.fit(awkward, labels)

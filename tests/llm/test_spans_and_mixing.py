@@ -27,6 +27,52 @@ def brute(text):
     return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m.group())]
 
 
+def redacted(text, spans):
+    """Spans as the report names them, replaced by their kind; of those that overlap the first."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for start, end, kind in sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x)):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_pii_with_many_spans(spark):
+    """Texts whose matches fill many blocks, against plain code: base spans, overlaps, redaction."""
+    rng = random.Random(12)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    parts = [lambda: digits(rng.randint(1, 17)), lambda: f"+1 555 {digits(3)} {digits(4)}", lambda: f"call {digits(3)}-{digits(4)}", lambda: "10.0.0." + digits(2), lambda: "a@b.c", lambda: "é日 word", lambda: f"IBAN DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"]
+    texts = [rng.choice([" ", ", ", "\n"]).join(rng.choice(parts)() for _ in range(n)) for n in (0, 1, 63, 64, 65, 257, 3000, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.report(docs).collect()}
+    after = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        want = brute(text)
+        assert found[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        added = sorted(tuple(map(int, x.split(":")[1:])) for x in set(found[i].spans.split(",")) - set(want) - {""})
+        base = sorted(tuple(map(int, x.split(":")[1:])) for x in want)
+        assert all(a[1] <= b[0] for a, b in zip(added, added[1:])) and not any(b[0] < a[1] and a[0] < b[1] for a in added for b in base)
+        assert after[i] == redacted(text, found[i].spans)
+    assert len(found[7].spans.split(",")) > 3000
+
+
+def test_pii_cost_stays_near_the_length(spark):
+    import time
+
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choice("0123456789") for _ in range(rng.randint(2, 12))) for _ in range(60_000))
+    began = time.time()
+    assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_card > 0
+    assert time.time() - began < 90  # half a megabyte of numbers; a cost by the square would take several minutes
+
+
+def test_calibration_texts_differ_from_those_learned():
+    train, back = pii.sentences(), pii.calibration()
+    assert not {s["text"] for s in train} & {s["text"] for s in back} and {s["label"] for s in back} == {0, 1}
+
+
 def test_pii_base_and_added(spark):
     rng = random.Random(2)
     parts = [*"ab1234567890.-+ @%_()é🎉\n", "a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (555) 123-4567", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188aabb"', "call 555-7713"]
@@ -99,6 +145,16 @@ def test_mixing(spark):
         assert sum(r.taken for r in out if r.source == source) == pytest.approx(target, rel=0.02, abs=120)
 
 
+def test_mixing_of_rows_alike(spark):
+    """Rows that share id and size, or everything: as many as the sums ask for, the same ones whatever the partitions."""
+    rows = [(i % 40, f"w {i % 7} " * (i % 5), "a" if i % 3 else "b", i % 2) for i in range(600)] + [(None, "x y", None, 0)] * 30 + [(None, "y x", None, 1)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    want = sorted(map(str, mixing.emit(docs).collect()))
+    assert want == sorted(map(str, mixing.emit(docs.repartition(7)).collect()))
+    narrow = mixing.with_copies(docs)
+    assert len(want) == narrow.agg(F.sum("copies")).first()[0] and narrow.count() == len(rows)
+
+
 def test_mixing_awkward(awkward, nothing):
     mixed = mixing.emit(awkward)
     assert mixed.columns == awkward.columns and mixed.where("text is null or trim(text) = ''").count() == 0
