@@ -1,11 +1,13 @@
 """Hand-computed cases: formulas, ties, nulls, empty inputs."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats, text, vectors
-from tidewell.operators import evaluation, events, indexing, profiles, search
+from tidewell.operators import evaluation, events, indexing, profiles, search, service
 from tidewell.streaming import jobs
 
 
@@ -134,3 +136,87 @@ def test_breaker_states():
 def test_gate(spark):
     runs = spark.createDataFrame([("d", "s", 1, 0.5, 0.5), ("d", "s", 2, 0.48, 0.49), ("d", "s", 3, 0.459, 0.49)], "dataset string, strategy string, run_at int, recall double, ndcg double")
     assert [r.regression for r in evaluation.gate(runs).orderBy("run_at").collect()] == [False, False, True]
+
+
+def test_vector_search_against_plain_products(spark):
+    rng = np.random.default_rng(3)
+    points = [(i, i // 3, rng.integers(-2, 3, size=6 if i % 11 else 4).astype(float).tolist()) for i in range(400)] + [(900, 300, [0.0] * 6), (901, 301, [float("nan")] * 6), (902, 302, None)]
+    asked = [(q, rng.integers(-2, 3, size=6).astype(float).tolist()) for q in range(7)] + [(7, [1.0, 0.0, 1.0, 2.0]), (8, None), (9, [0.0] * 6)]
+    got = {}
+    frame = spark.createDataFrame(points, "point_id long, doc_id long, vector array<double>")
+    for r in search.vector_search(frame, spark.createDataFrame(asked, "query_id long, query_vector array<double>"), k=15).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    for q, v in asked:
+        best = {}
+        for _, doc, p in points:
+            if v is not None and p is not None and len(p) == len(v) and np.isfinite(p).all():
+                lengths = np.linalg.norm(v) * np.linalg.norm(p)
+                best[doc] = max(best.get(doc, -2), float(np.dot(v, p) / lengths) if lengths else 0.0)
+        want = sorted((-round((c + 1) / 2, 6), d) for d, c in best.items())[:15]
+        assert sorted(got.get(q, [])) == [(k + 1, d, -s) for k, (s, d) in enumerate(want)]
+
+
+def test_trigram_scores_against_plain_sets(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    tri = lambda text: {f"  {w} "[i : i + 3] for w in re.findall(text_token, text.lower()) for i in range(len(w) + 1)}
+    text_token = "[a-z0-9]+"
+    words = ["alpha", "beta", "gamma", "al", "a", "alphabet", "be", "x1"]
+    docs = [(i, "t", rng.choice(words), " ".join(rng.choice(words[: rng.randint(1, 8)]) for _ in range(rng.choice([0, 1, 2, 3, 5, 400])))) for i in range(200)] + [(500, "t", "zz", " ".join(f"w{i}" for i in range(500)))]
+    asked = [(q, "t", " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))) for q in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, tenant_id string, title string, content string")
+    rows = search.trigram_scores(frame, spark.createDataFrame(asked, "query_id long, tenant_id string, query string")).collect()
+    want = {}
+    for q, _, query in asked:
+        for d, _, title, content in docs:
+            a, b = tri(query), tri(f"{title} {content}")
+            if round(len(a & b) / len(a | b), 6) > 0.3 and min(len(a), len(b)) > 0.3 * max(len(a), len(b)):
+                want[q, d] = round(len(a & b) / len(a | b), 6)
+    assert want and {(r.query_id, r.doc_id): r.similarity for r in rows} == want
+
+
+def test_strategies_over_a_table(spark):
+    rows = spark.createDataFrame([(1, 5, "weighted+rerank+alpha:0.3"), (2, None, "weighted"), (3, 5, "")], "query_id long, user_id long, strategy string").select("*", F.lit("rrf").alias("fusion"), F.lit(0.5).alias("fusion_alpha"), *[F.lit(False).alias(c) for c in ("rerank", "personalize", "diversify")])
+    got = [(r.fusion, r.fusion_alpha, r.rerank) for r in events.overlaid(rows).orderBy("query_id").collect()]
+    assert got == [("weighted", 0.3, True), ("rrf", 0.5, False), ("rrf", 0.5, False)]
+    with pytest.raises(Exception, match="unknown strategy word"):
+        events.overlaid(rows.withColumn("strategy", F.lit("weighted+magic"))).collect()
+
+
+def test_bad_judgment_lines_fail(spark, tmp_path):
+    (tmp_path / "j.json").write_text('{"query_id": "1", "query": "a"}\n\n{"query_id": 2, broken\n')
+    with pytest.raises(Exception):
+        evaluation.load_judgments(spark, f"file://{tmp_path}/j.json").collect()
+
+
+def test_embedding_through_caches(spark):
+    now = "2024-01-01 00:00:00"
+    key = lambda rows, ddl: spark.createDataFrame(rows, ddl).withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
+    wanted = spark.createDataFrame([("a", "x y"), ("a", "x y"), ("b", "x"), ("c", "z"), ("d", "..."), ("e", "old")], "key string, text string")
+    cache = key([("b", [9.0], "2024-01-02"), ("e", [9.0], "2023-01-01")], "key string, vector array<double>, expires_at string")
+    failed = key([("c", "2024-01-02")], "key string, expires_at string")
+    rows = service.embed_cached(wanted, cache, failed, now)
+    assert {r.key: r.outcome for r in rows.collect()} == {"a": "computed", "b": "hit", "c": "negative", "d": "failed", "e": "computed"}
+    assert rows.where("key = 'b'").first().vector == [9.0] and rows.where("key = 'd'").first().vector is None
+    kept, negative = service.cache_rows(rows, now)
+    assert {r.key: str(r.expires_at) for r in kept.collect()} == dict.fromkeys("ae", "2024-01-31 00:00:00")
+    assert 50 <= (negative.first().expires_at - datetime.datetime(2024, 1, 1)).seconds <= 70
+    with pytest.raises(Exception, match="fewer vectors"):
+        service.embed_texts(wanted, lambda c: F.lit(None).cast("array<double>")).collect()
+
+
+def test_streamed_profiles_are_those_of_the_batch(spark):
+    from compare import SF_DIR
+
+    from tidewell.plans.catalogue import QUERIES
+
+    rows = [{r.user_id: (tuple(r.vector), r.click_count) for r in QUERIES[name](spark, SF_DIR).collect()} for name in ("ema_profiles", "stream_profiles")]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_migration_names(spark):
+    rows = [("d", "promoted", "d_new"), ("d", "cleaned", "d_v2"), ("e", "init", "e_new"), ("f", "rolled_back", "f_v2")]
+    got = {r.base: (r.accepted, r.collection) for r in service.begin(spark.createDataFrame(rows, "base string, status string, collection string")).collect()}
+    assert got == {"d": (True, "d_v3"), "e": (False, None), "f": (True, "f_new")}

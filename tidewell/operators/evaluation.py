@@ -23,8 +23,9 @@ def dataset_errors(judgments: DataFrame) -> DataFrame:
 
 
 def dataset_stats(judgments: DataFrame) -> DataFrame:
+    """One row over judgments counted by query (query_id, n, language, tenant_id)."""
     return judgments.agg(
-        F.count("*").alias("queries"), F.sum(F.size("relevant")).alias("relevant"), F.round(F.avg(F.size("relevant")), 6).alias("avg_relevant"),
+        F.count("*").alias("queries"), F.sum("n").alias("relevant"), F.round(F.avg("n"), 6).alias("avg_relevant"),
         F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"), F.countDistinct("tenant_id").alias("tenants"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats
+from tidewell.operators.search import small
 
 
 def hashed_query(query: Column, enabled: bool = True) -> Column:
@@ -17,6 +18,26 @@ def search_rows(events: DataFrame, pii: bool = True) -> DataFrame:
     return events.where("kind = 'search'").select("event_id", "user_id", "tenant_id", hashed_query(F.col("query_text"), pii).alias("query_text"), F.coalesce("variant", F.lit("control")).alias("variant"), "latency_ms", "created_at")
 
 
+def click_rows(events: DataFrame, pii: bool = True) -> DataFrame:
+    """Rows of the log for clicks: the query, where it is known, hashed as in the search's row."""
+    return events.where("kind = 'click'").select("event_id", "user_id", "tenant_id", hashed_query(F.col("query_text"), pii).alias("query_text"), F.coalesce("variant", F.lit("control")).alias("variant"), "clicked_doc_id", "position", "created_at")
+
+
+def hashed_user(user: Column) -> Column:
+    return F.sha2(user.cast("string"), 256)
+
+
+def since_start(events: DataFrame, experiments: DataFrame) -> DataFrame:
+    """The events of each experiment from its start on. Experiments are few; their side travels where a count allows."""
+    return events.join(small(experiments.select("experiment_id", "start_date")), "experiment_id").where(F.col("created_at") >= F.col("start_date")).drop("start_date")
+
+
+def active_list(experiments: DataFrame) -> DataFrame:
+    """Active experiments with their place, newest first, and how many there are. One row an experiment, so few."""
+    active = experiments.where("status = 'active'")
+    return active.withColumn("place", F.row_number().over(Window.orderBy(F.desc("start_date"), "experiment_id"))).withColumn("running", F.count("*").over(Window.partitionBy()))
+
+
 def with_variant(events: DataFrame, experiment: str, variants) -> DataFrame:
     """events with bucket and variant; a user always gets the same one. Computed per user, not per event."""
     users = events.select("user_id").distinct()
@@ -25,13 +46,17 @@ def with_variant(events: DataFrame, experiment: str, variants) -> DataFrame:
     return events.join(assigned, "user_id")
 
 
-def metrics(events: DataFrame, *keys: str) -> DataFrame:
-    """searches, clicks, ctr (not clamped), no-click rate, mean reciprocal position, 95th percentile of latency."""
+def metrics(events: DataFrame, *keys: str, approximate: bool = False) -> DataFrame:
+    """searches, clicks, ctr (not clamped), no-click rate, mean reciprocal position, 95th percentile of latency.
+
+    The exact percentile keeps the distinct latencies of a group; `approximate` takes a sketch of fixed size instead.
+    """
+    p95 = F.approx_percentile if approximate else F.percentile
     search, click = F.col("kind") == "search", F.col("kind") == "click"
     counted = events.where("kind is not null").groupBy(*keys).agg(
         F.count_if(search).alias("searches"), F.count_if(click).alias("clicks"),
         F.round(F.avg(F.when(click & (F.col("position") > 0), F.lit(1.0) / F.col("position"))), 6).alias("mrr"),
-        F.round(F.percentile(F.when(search, F.col("latency_ms")), 0.95), 4).alias("p95_latency_ms"),
+        F.round(p95(F.when(search, F.col("latency_ms")), 0.95), 4).alias("p95_latency_ms"),
     )
     ctr = F.when(F.col("searches") > 0, F.col("clicks") / F.col("searches")).otherwise(F.lit(0.0))
     return counted.withColumn("ctr", F.round(ctr, 6)).withColumn("no_click_rate", F.round(1 - ctr, 6))
@@ -71,6 +96,13 @@ def significance(samples: DataFrame, names: list[str], threshold: Column | float
     )
 
 
+def significance_spending(samples: DataFrame, names: list[str], events: DataFrame, level: float = 0.05) -> DataFrame:
+    """significance() at the level that is left after the days that the events span, and that level."""
+    days = events.agg(F.date_diff(F.max("created_at"), F.min("created_at"))).first()[0] or 0
+    left = alpha(F.lit(days), max(1, len(names) - 1), level)
+    return significance(samples, names, left).withColumn("level", F.round(left, 9))
+
+
 def shadow_comparison(events: DataFrame) -> DataFrame:
     """Per variant: counts summed, daily metrics averaged over the days with data."""
     daily = metrics(events.withColumn("day", day()), "variant", "day")
@@ -107,6 +139,23 @@ def overlay(request: dict, settings: dict, active: bool = True) -> dict:
     return request | {k: v for k, v in settings.items() if k in OVERLAY} if active and request.get("user_id") else dict(request)
 
 
+def strategy_settings(strategy: Column) -> dict[str, Column]:
+    """parse_strategy() for a column: null where the strategy doesn't say; an unknown word fails the query."""
+    words = F.filter(F.split(strategy, r"\+"), lambda w: w != "")
+    known = F.forall(words, lambda w: w.isin("rrf", "weighted", "rerank", "personalize", "diversify") | w.rlike(r"^alpha:[0-9.]+$"))
+    checked = F.when(known, words).otherwise(F.raise_error(F.concat(F.lit("unknown strategy word in "), strategy)).cast("array<string>"))
+    said = lambda name: F.when(F.array_contains(checked, name), F.lit(True))
+    value = F.try_element_at(F.filter(checked, lambda w: w.startswith("alpha:")), F.lit(-1))
+    fusion = F.try_element_at(F.filter(checked, lambda w: w.isin("rrf", "weighted")), F.lit(-1))
+    return {"fusion": fusion, "fusion_alpha": F.substring(value, 7, 20).cast("double"), "rerank": said("rerank"), "personalize": said("personalize"), "diversify": said("diversify")}
+
+
+def overlaid(requests: DataFrame, active: Column | None = None) -> DataFrame:
+    """overlay() for a table: settings of `strategy` where the request has a user and the experiment runs."""
+    applies = F.col("user_id").isNotNull() & (F.lit(True) if active is None else active)
+    return requests.withColumns({k: F.when(applies & c.isNotNull(), c).otherwise(F.col(k)) for k, c in strategy_settings(F.col("strategy")).items()})
+
+
 def experiment_errors(experiments: DataFrame, active: DataFrame, most_active: int = 3) -> DataFrame:
     """experiment_id and the first reason to reject it, null where it is fine."""
     names, weights = F.col("variants"), F.col("weights")

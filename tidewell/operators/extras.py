@@ -42,3 +42,15 @@ def hit_rate(lookups: DataFrame, *keys: str) -> DataFrame:
 
 def health(n: Column, ok: int = 1000, degraded: int = 10_000) -> Column:
     return F.when(n < ok, "ok").when(n < degraded, "degraded").otherwise("fail")
+
+
+def overall(states: DataFrame) -> DataFrame:
+    """One row: the worst state, and how many aren't ok."""
+    order = F.when(F.col("state") == "ok", 0).when(F.col("state") == "degraded", 1).otherwise(2)
+    return states.agg(F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("fail")), F.max(order) + 1).alias("overall"), F.count_if(F.col("state") != "ok").alias("not_ok"))
+
+
+def export(profiles: DataFrame, path: str) -> DataFrame:
+    """Profiles as JSON lines, one a user, and read back."""
+    profiles.write.mode("errorifexists").json(path)
+    return profiles.sparkSession.read.schema(profiles.schema).json(path)

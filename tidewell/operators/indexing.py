@@ -156,7 +156,7 @@ def merge_digest(before: DataFrame, new: DataFrame, samples: int = 10) -> DataFr
 def outbox_counts(outbox: DataFrame, now: str) -> DataFrame:
     at = F.lit(now).cast("timestamp_ntz")
     open_, due = F.col("status").isin("pending", "failed"), F.col("next_retry_at")
-    age = F.timestamp_diff("SECOND", F.min(F.when(open_, F.col("updated_at"))), at)
+    age = F.timestamp_diff("SECOND", F.min(F.when(open_, F.col("created_at"))), at)
     return outbox.agg(
         F.count_if(open_ & (due <= at)).alias("pending"), F.count_if(F.col("status").isin("pending", "failed", "in_progress") & (due <= at + F.expr("INTERVAL 1 MINUTE"))).alias("near_due"),
         F.count_if(F.col("status") == "dead").alias("dead"), F.coalesce(age, F.lit(0)).cast("long").alias("oldest_s"),

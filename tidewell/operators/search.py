@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +91,23 @@ def token_matches(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SIMILARITY) -> DataFrame:
-    """query_id, doc_id, similarity: pairs of the tenant over the bound. Shared trigrams can't exceed the request's, so
-    documents with too many trigrams drop out on their count before sets are compared."""
+    """query_id, doc_id, similarity: pairs of the tenant over the bound.
+
+    Shared trigrams can't exceed the request's, so a document with many more can't match. A text has no fewer trigrams
+    than its beginning (but for the word that the cut breaks), so long documents drop out on a beginning of a few words;
+    the whole trigrams of the rest meet those of the requests on (tenant, trigram), and sets are compared by counts.
+    """
     asked = requests.select("query_id", "tenant_id", X.trigrams(F.col("query")).alias("q")).withColumn("nq", F.size("q"))
-    offered = docs.select("tenant_id", "doc_id", X.trigrams(F.concat_ws(" ", "title", "content")).alias("d")).withColumn("nd", F.size("d"))
-    pairs = offered.join(small(asked), "tenant_id").where(F.least("nq", "nd") > above * F.greatest("nq", "nd"))
-    return pairs.select("query_id", "doc_id", F.round(X.jaccard(F.col("d"), F.col("q")), 6).alias("similarity")).where(F.col("similarity") > above)
+    most = asked.agg(F.max("nq")).first()[0] or 0
+    limit = int(most / above) + 1
+    text = lambda content: F.concat_ws(" ", "title", content)
+    few = docs.where(F.size(X.trigrams(text(F.substring("content", 1, 4 * limit)))) <= limit + 1)
+    offered = few.select("tenant_id", "doc_id", X.trigrams(text(F.col("content"))).alias("d")).withColumn("nd", F.size("d")).where(F.col("nd") <= limit)
+    held = offered.select("tenant_id", "doc_id", "nd", F.explode("d").alias("trigram"))
+    wanted = asked.select("query_id", "tenant_id", "nq", F.explode("q").alias("trigram"))
+    met = held.join(small(wanted), ["tenant_id", "trigram"]).where(F.least("nq", "nd") > above * F.greatest("nq", "nd"))
+    shared = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
+    return shared.select("query_id", "doc_id", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), 6).alias("similarity")).where(F.col("similarity") > above)
 
 
 def lexical_search(docs: DataFrame, requests: DataFrame, k: Column | int = 50) -> DataFrame:
@@ -124,25 +136,115 @@ def mixed_match(docs: DataFrame, queries: DataFrame) -> DataFrame:
 # ---- vector channel
 
 
-def vector_search(points: DataFrame, requests: DataFrame, docs: DataFrame | None = None, k: Column | int = 50, pushdown_ids: DataFrame | None = None) -> DataFrame:
+def vector_search(points: DataFrame, requests: DataFrame, docs: DataFrame | None = None, k: Column | int = 50, pushdown_ids: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: exact cosine against all points, the best chunk of a document, scaled to 0..1.
 
-    The requests are the stated query set; they are broadcast in bounded size, else dealt by a grid of buckets.
+    Points are cut to live documents, handed ids and active models first. The requests are the stated query set: they
+    meet shards of documents, each shard giving its MOST_K best a request for the final ranking. Zero vectors score as
+    a cosine of 0; points with null or non-finite components and those of another length than the request are left out.
     """
     asked = requests.where("query_vector is not null").select("query_id", "query_vector")
-    offered = points.where(V.finite(F.col("vector"))).select("doc_id", "vector")
+    offered = points.where(V.finite(F.col("vector")))
+    if models is not None:
+        offered = offered.join(small(models.where("is_active").select("model_name")), "model_name", "left_semi")
+    offered = offered.select("doc_id", "vector")
     if pushdown_ids is not None:
         offered = offered.join(pushdown_ids.select("doc_id"), "doc_id", "left_semi")
-    met = grid(offered, asked)
-    scored = met.select("query_id", "doc_id", V.cosine(F.col("vector"), F.col("query_vector")).alias("cosine")).groupBy("query_id", "doc_id").agg(F.max("cosine").alias("cosine"))
-    scored = scored.select("query_id", "doc_id", F.round((F.col("cosine") + 1) / 2, 6).alias("score"))
     if docs is not None:
-        scored = scored.join(live(docs).select("doc_id"), "doc_id", "left_semi")
+        offered = offered.join(live(docs).select("doc_id"), "doc_id", "left_semi")
+    scored = best_of_shards(offered, asked, MOST_K)
     return ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
+#: Requests that a task holds at most, and points of a shard from which on another shard is worth it.
+REQUEST_ROWS, SHARD_ROWS = 4096, 20_000
+
+
+def best_of_shards(offered: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id, score: of each shard of documents the `most` best for each request. All chunks of a document
+    are in one shard. A point is copied once for every REQUEST_ROWS requests, a request once for every shard."""
+    spark = offered.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-asked.count() // REQUEST_ROWS))
+    shards = max(1, min(-(-tasks // parts), -(-offered.count() // SHARD_ROWS)))
+    vector = lambda c: F.transform(c, lambda x: x.cast("double"))
+    left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("role"), F.col("query_id").alias("id"), vector("query_vector").alias("v"))
+    right = offered.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), F.col("doc_id").alias("id"), vector("vector").alias("v"))
+    dealt = left.unionByName(right).repartition(max(tasks, min(parts * shards, 100_000)), "part", "shard").sortWithinPartitions("part", "shard", "role", "id")
+
+    def run(batches):
+        key, best = None, None
+        for batch in batches:
+            part, shard, role, ids = (np.asarray(batch.column(i)) for i in range(4))
+            cuts = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(shard) != 0) | (np.diff(role) != 0)]) if len(ids) else []
+            for low, high in zip(cuts, np.r_[cuts[1:], len(ids)].astype(int)):
+                if (part[low], shard[low]) != key:
+                    if best:
+                        yield from best.rows()
+                    key, best = (part[low], shard[low]), Best(most)
+                (best.offer if role[low] else best.ask)(ids[low:high], batch.column(4).slice(low, high - low))
+        if best:
+            yield from best.rows()
+
+    return dealt.mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+class Best:
+    """The best documents of one shard for some requests; points come in the order of their documents."""
+
+    def __init__(self, most: int):
+        self.most, self.asked, self.held = most, {}, {}
+
+    @staticmethod
+    def _units(vectors: pa.Array):
+        """(rows, unit vectors as a matrix) for each length there is."""
+        lengths = np.asarray(vectors.value_lengths())
+        for width in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == width)
+            m = np.asarray(vectors.take(pa.array(rows)).flatten()).reshape(len(rows), width)
+            n = np.linalg.norm(m, axis=1, keepdims=True)
+            yield rows, width, m / np.where(n > 0, n, 1)
+
+    def ask(self, ids: np.ndarray, vectors: pa.Array) -> None:
+        for rows, width, m in self._units(vectors):
+            self.asked.setdefault(width, []).append((ids[rows], m))
+
+    def offer(self, ids: np.ndarray, vectors: pa.Array) -> None:
+        for rows, width, m in self._units(vectors):
+            if width in self.asked:
+                q = np.concatenate([a[1] for a in self.asked[width]])
+                for at in range(0, len(rows), 4096):
+                    docs = ids[rows[at : at + 4096]]
+                    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+                    scores = np.maximum.reduceat(m[at : at + 4096] @ q.T, starts, axis=0)
+                    self._keep(width, docs[starts], scores)
+
+    def _keep(self, width: int, docs: np.ndarray, scores: np.ndarray) -> None:
+        """The `most` best of what is held and what is new; a document that a cut parted counts by its better half."""
+        scores = np.round((scores + 1) / 2, 6)
+        if width in self.held:
+            old, had = self.held[width]
+        else:
+            n = scores.shape[1]
+            old, had = np.zeros((0, n), np.int64), np.zeros((0, n))
+        docs = np.concatenate([old, np.broadcast_to(docs[:, None], scores.shape)])
+        scores = np.concatenate([had, scores])
+        order = np.lexsort((-scores, docs), axis=0)
+        docs, scores = np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
+        scores[1:][docs[1:] == docs[:-1]] = -np.inf
+        order = np.lexsort((docs, -scores), axis=0)[: self.most]
+        self.held[width] = np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
+
+    def rows(self):
+        for width, (docs, scores) in self.held.items():
+            ids = np.broadcast_to(np.concatenate([a[0] for a in self.asked[width]])[None, :], docs.shape)
+            there = scores > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(docs[there]), pa.array(scores[there])], names=["query_id", "doc_id", "score"])
+
+
 def grid(offered: DataFrame, asked: DataFrame, side: int = 8) -> DataFrame:
-    """Every asked row beside every offered row, as an equi-join over side * side cells, for a stated query set."""
+    """Every asked row beside every offered row, as an equi-join over side * side cells, for a stated query set whose
+    pairs are themselves the result."""
     left = offered.withColumn("_x", F.pmod(F.hash("doc_id"), F.lit(side))).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     right = asked.withColumn("_y", F.pmod(F.hash("query_id"), F.lit(side))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     return left.join(right, ["_x", "_y"]).drop("_x", "_y")
@@ -195,13 +297,34 @@ def mock_scores(candidates: DataFrame) -> DataFrame:
     return candidates.select("query_id", "doc_id", "rank", F.round(F.lit(1.1) - 0.1 * F.col("rank"), 6).alias("rerank_score"))
 
 
-def overlap_scores(candidates: DataFrame, requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """A plain scorer in a model's place: sigmoid of the share of query tokens in title and snippet."""
+def rerank(candidates: DataFrame, requests: DataFrame, docs: DataFrame, scorer, top_k: int | None = None) -> DataFrame:
+    """query_id, doc_id, rank, rerank_score: a model's score of (query, title and snippet), through a sigmoid.
+
+    scorer(query, text) gives a column: an expression, or a pandas UDF around a model. With top_k only the best stay.
+    """
     text = F.concat_ws("\n", "title", F.substring("content", 1, SNIPPET))
     joined = candidates.join(small(requests.select("query_id", "query")), "query_id").join(docs.select("doc_id", text.alias("text")), "doc_id")
-    asked, have = F.array_distinct(X.tokens(F.col("query"))), X.tokens(F.col("text"))
-    share = F.size(F.array_intersect(asked, have)) / F.greatest(F.size(asked), F.lit(1))
-    return joined.select("query_id", "doc_id", "rank", F.round(1 / (1 + F.exp(-(4 * share - 2))), 6).alias("rerank_score"))
+    scored = joined.select("query_id", "doc_id", "rank", F.round(1 / (1 + F.exp(-scorer(F.col("query"), F.col("text")))), 6).alias("rerank_score"))
+    if top_k is None:
+        return scored
+    return ranked(scored.drop("rank"), top_k, F.desc("rerank_score"), F.col("doc_id")).select("query_id", "doc_id", "rank", "rerank_score")
+
+
+def token_overlap(query: Column, text: Column) -> Column:
+    """A plain scorer in a model's place: the share of query tokens in the text, from -2 to 2."""
+    asked = F.array_distinct(X.tokens(query))
+    return 4 * F.size(F.array_intersect(asked, X.tokens(text))) / F.greatest(F.size(asked), F.lit(1)) - 2
+
+
+def overlap_scores(candidates: DataFrame, requests: DataFrame, docs: DataFrame) -> DataFrame:
+    return rerank(candidates, requests, docs, token_overlap)
+
+
+def rerank_modes(channels: DataFrame) -> DataFrame:
+    """query_id, rerank_mode, rerank_degraded, partial: how a request is reranked once its channels are in."""
+    blocked = ~F.col("available") | F.col("breaker_open")
+    mode = F.when(~F.col("rerank"), "none").when(blocked, "none").when(F.col("speculative"), "speculative").otherwise("plain")
+    return channels.select("query_id", mode.alias("rerank_mode"), (F.col("rerank") & blocked).alias("rerank_degraded"), F.col("late").alias("partial"))
 
 
 def apply_rerank(fused: DataFrame, scores: DataFrame, top_k: int = 10) -> DataFrame:

@@ -14,7 +14,7 @@ from tidewell.sources.tables import DOCS, EVENTS, OUTBOX, POINTS
 from tidewell.streaming import jobs
 
 from .registry import query
-from .search_queries import _CHAIN, channels, doc_vectors
+from .search_queries import _CHAIN, _DOC_VECTORS, channels, doc_vectors
 
 NOW = "2024-01-20 00:00:00"
 _HASH = "sha256(title || chr(10) || content)"
@@ -76,14 +76,13 @@ def chunk_windows(spark, sf):
     return I.chunk_windows(T.documents(spark, sf))
 
 
-@query()
-def point_ids(spark, sf):
-    return T.points(spark, sf).select("doc_id", "chunk_idx", I.point_id(F.col("doc_id"), F.col("chunk_idx")).alias("point_id"))
+_SHA = f"sha1(unhex('{I.URL_NAMESPACE}') || encode(doc_id || ':' || chunk_idx))"
 
 
-@query()
-def section_vectors(spark, sf):
-    return I.section_vectors(T.points(spark, sf)).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+@query(f"""WITH {POINTS}, h AS (SELECT doc_id, chunk_idx, {_SHA} AS h FROM points) SELECT doc_id, chunk_idx, CASE WHEN chunk_idx = 0 THEN CAST(doc_id AS VARCHAR)
+  ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS point_id FROM h""")
+def point_ids(spark, sf):
+    return T.points(spark, sf).select("doc_id", "chunk_idx", I.point_id(F.col("doc_id"), F.col("chunk_idx")).alias("point_id"))
 
 
 @query("SELECT vec_id AS point_id, vec_id // 2 AS doc_id, vec_id % 2 AS chunk_idx, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS rev FROM embeddings WHERE vec_id % 2 < CASE WHEN (vec_id // 2) % 4 = 0 THEN 1 ELSE 2 END")
@@ -128,7 +127,7 @@ def digest_merge(spark, sf):
 
 
 @query(f"""WITH {OUTBOX} SELECT count(*) FILTER (WHERE status IN ('pending', 'failed') AND next_retry_at <= TIMESTAMP '{NOW}') AS pending, count(*) FILTER (WHERE status IN ('pending', 'failed', 'in_progress') AND next_retry_at <= TIMESTAMP '{NOW}' + INTERVAL 1 MINUTE) AS near_due,
-  count(*) FILTER (WHERE status = 'dead') AS dead, coalesce(CAST(trunc(epoch(TIMESTAMP '{NOW}' - min(updated_at) FILTER (WHERE status IN ('pending', 'failed')))) AS BIGINT), 0) AS oldest_s FROM ob""")
+  count(*) FILTER (WHERE status = 'dead') AS dead, coalesce(CAST(trunc(epoch(TIMESTAMP '{NOW}' - min(created_at) FILTER (WHERE status IN ('pending', 'failed')))) AS BIGINT), 0) AS oldest_s FROM ob""")
 def outbox_lag(spark, sf):
     return I.outbox_counts(T.outbox(spark, sf), NOW)
 
@@ -200,36 +199,17 @@ for _metric in ("recall", "ndcg", "mrr"):
     query(f"WITH {_CHAIN}, {_SCORES} SELECT query_id, CAST({_metric} AS DOUBLE) AS {_metric} FROM sc", f"{_metric}_at_10")(lambda spark, sf, m=_metric: scores(spark, sf).select("query_id", m))
 
 
-@query()
-def nightly_eval(spark, sf):
-    """Three strategies in one job: means for each."""
-    docs, requests, lex, vec = channels(spark, sf)
-    truth, mixed = judged(spark, sf), S.weighted(lex, vec)
-    reranked = S.apply_rerank(mixed, S.overlap_scores(S.rerank_candidates(lex, vec), requests, docs), 50)
-    every = None
-    for name, hits in (("rrf", S.rrf(lex, vec)), ("weighted", mixed), ("weighted+rerank", reranked)):
-        one = V.relevance(hits, truth).withColumn("strategy", F.lit(name))
-        every = one if every is None else every.unionByName(one)
-    return V.summary(every, "strategy")
-
-
 @query(f"WITH {_CHAIN}, {_SCORES} SELECT 'rrf' AS strategy, query_id, CAST(recall AS DOUBLE) AS recall, place FROM (SELECT *, row_number() OVER (ORDER BY recall, query_id) AS place FROM sc) WHERE place <= 3")
 def worst_queries(spark, sf):
     return V.worst(scores(spark, sf).withColumn("strategy", F.lit("rrf"))).select("strategy", "query_id", "recall", "place")
 
 
-@query("""SELECT * FROM (VALUES ('rrf', 1, 0.42, 0.38, false), ('rrf', 2, 0.40, 0.38, false), ('rrf', 3, 0.37, 0.38, true), ('weighted', 1, 0.5, 0.40, false), ('weighted', 2, 0.5, 0.385, true)) t(strategy, run_at, recall, ndcg, release_blocked)""")
-def regression_gate(spark, sf):
-    runs = spark.sql("SELECT 'd' AS dataset, * FROM VALUES ('rrf', 1, 0.42D, 0.38D), ('rrf', 2, 0.40D, 0.38D), ('rrf', 3, 0.37D, 0.38D), ('weighted', 1, 0.5D, 0.40D), ('weighted', 2, 0.5D, 0.385D) AS t(strategy, run_at, recall, ndcg)")
-    return V.gate(runs).select("strategy", "run_at", "recall", "ndcg", "release_blocked")
-
-
 @query(f"""WITH {_CHAIN}, {_JUDGED}, j AS (SELECT query_id, rq.tenant_id, count(*) AS n FROM judged JOIN rq USING (query_id) GROUP BY ALL), l AS (SELECT j.*, d.language FROM j JOIN docs d ON d.doc_id = j.query_id)
 SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS relevant, round(avg(n), 6) AS avg_relevant, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages, count(DISTINCT tenant_id) AS tenants FROM l""")
 def dataset_stats(spark, sf):
-    gathered = judged(spark, sf).groupBy("query_id").agg(F.collect_set("doc_id").alias("relevant"))
+    counted = judged(spark, sf).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n"))
     named = T.documents(spark, sf).select(F.col("doc_id").alias("query_id"), "tenant_id", "language")
-    return V.dataset_stats(gathered.join(named, "query_id"))
+    return V.dataset_stats(counted.join(named, "query_id"))
 
 
 # ---- migration
@@ -249,12 +229,6 @@ def dual_write_targets(spark, sf):
     return V.write_targets(T.read(spark, sf, "documents"), ["docs_v1", "docs_v2"])
 
 
-@query("SELECT * FROM (VALUES (1, 'canary_passed', true), (2, 'init', false), (3, 'promoted', true), (4, 'backfilled', false), (5, 'cleaned', true)) t(migration_id, status, accepted)")
-def migration_steps(spark, sf):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'init', null, 0, 10, 'canary'), (2, 'init', null, 0, 10, 'promote'), (3, 'backfilled', 'key', 10, 10, 'promote'), (4, 'backfilled', 'key', 9, 10, 'promote'), (5, 'promoted', 'key', 10, 10, 'cleanup') AS t(migration_id, status, snapshot_key, backfilled, total, step)")
-    return V.advance(rows, F.col("step"))
-
-
 @query(f"WITH {EVENTS}, u AS (SELECT user_id, min(created_at) AS p FROM ev GROUP BY user_id) SELECT user_id AS migration_id, p + INTERVAL 7 DAYS <= TIMESTAMP '2024-01-08 12:00:00' AS allowed FROM u")
 def cleanup_allowed(spark, sf):
     promoted = T.events(spark, sf).groupBy(F.col("user_id").alias("migration_id")).agg(F.min("created_at").alias("promoted_at")).withColumn("status", F.lit("promoted"))
@@ -262,13 +236,23 @@ def cleanup_allowed(spark, sf):
 
 
 # ---- profiles
-@query()
+def _ema(key: str, rate: str, name: str) -> str:
+    """Moving averages along each key's clicks, one step a round."""
+    return f"""WITH RECURSIVE {POINTS}, {EVENTS}, {_DOC_VECTORS}, cl AS (SELECT {key} AS k, CAST(vector AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY {key} ORDER BY created_at, event_id) - 1 AS i FROM ev JOIN dv ON dv.doc_id = clicked_doc_id WHERE kind = 'click'),
+r AS (SELECT k, i, v AS s FROM cl WHERE i = 0 UNION ALL SELECT k, i, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) FROM (SELECT cl.k, cl.i, list_transform(list_zip(r.s, cl.v), lambda p: (1 - {rate}) * p[1] + {rate} * p[2]) AS m FROM r JOIN cl ON cl.k = r.k AND cl.i = r.i + 1)),
+l AS (SELECT k, max_by(s, i) AS s, count(*) AS n FROM r GROUP BY k) SELECT {name}, list_transform(s, lambda x: round(x, 6)) AS vector, n AS click_count, n AS profile_version FROM l"""
+
+
+@query(_ema("user_id", "(CASE WHEN cl.i < 10 THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END)", "k AS user_id"))
 def ema_profiles(spark, sf):
     clicks = T.events(spark, sf).where("kind = 'click'")
     return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id"]).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
 
 
-@query()
+_TIME = "'time:' || CASE WHEN hour(created_at) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(created_at) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(created_at) >= 18 THEN 'evening' ELSE 'night' END"
+
+
+@query(_ema(f"{{'u': user_id, 'c': {_TIME}}}", "0.1::DOUBLE", "k.u AS user_id, k.c AS context_key"))
 def context_profiles(spark, sf):
     clicks = T.events(spark, sf).where("kind = 'click'").withColumn("context_key", P.context_key(F.lit(None).cast("string"), P.time_of_day(F.col("created_at")), F.lit("web")))
     return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id", "context_key"], fast=0.1, slow=0.1).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
@@ -311,6 +295,16 @@ def stream_breaker(spark, sf):
     return jobs.breaker(spark, sf)
 
 
-@query()
+@query(f"""WITH {EVENTS}, e AS (SELECT user_id, created_at, event_id, event_type = 'purchase' AS settles, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS run FROM ev WHERE event_type IN ('error', 'purchase')),
+n AS (SELECT *, count(*) FILTER (WHERE NOT settles) OVER (PARTITION BY user_id, run ORDER BY created_at, event_id) AS attempts FROM e),
+l AS (SELECT user_id, bool_or(attempts >= 20) AS dead, arg_max(attempts, (created_at, event_id)) AS attempts, arg_max(settles, (created_at, event_id)) AS settled, epoch_us(max(created_at)) AS last FROM n GROUP BY user_id),
+d AS (SELECT user_id, attempts, last + 1000000 * CAST(least(10 * pow(2, attempts - 1), 3600) AS BIGINT) AS due FROM l WHERE NOT dead AND NOT settled)
+SELECT user_id, CAST(attempts AS INT) AS attempts, due FROM d WHERE due < (SELECT epoch_us(max(created_at)) - 60000000 FROM e)""")
 def stream_retries(spark, sf):
     return jobs.retries(spark, sf)
+
+
+@query()
+def stream_profiles(spark, sf):
+    """Profiles carried on click by click: the same as of all clicks at once."""
+    return jobs.profiles(spark, sf, doc_vectors(spark, sf)).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))

@@ -9,9 +9,10 @@ from tidewell.operators import events as E
 from tidewell.operators import search as S
 from tidewell.sources import files
 from tidewell.sources import tables as T
+from tidewell.sources.scratch import folder
 from tidewell.sources.tables import DOCS, EVENTS
-from tidewell.streaming.jobs import folder
 
+from .event_queries import _EV, _STARTS, experiments, log
 from .registry import query
 from .search_queries import _CHAIN, channels
 
@@ -121,10 +122,20 @@ def get_or_create(spark, sf):
     return indexing.get_or_create(stored, wanted, "user_id")
 
 
-@query("SELECT * FROM (VALUES ('e1', 'stopped', 'a'), ('e2', 'active', NULL), ('e3', 'stopped', 'b'), ('e4', 'active', NULL)) t(experiment_id, status, winning_variant)")
+_ENDS = "even AND significant AND winner IN ('control', 'a')"
+
+
+@query(f"""WITH {_EV}, {_STARTS}, c AS (SELECT tenant_id, variant, count(*) FILTER (WHERE kind = 'click') AS n FROM evv GROUP BY ALL), w AS (SELECT tenant_id AS experiment_id, arg_max(variant, (n, variant)) AS winner FROM c GROUP BY 1),
+g AS (SELECT tenant_id AS experiment_id, count(*) % 3 <> 0 AS significant FROM ev GROUP BY 1)
+SELECT experiment_id, CASE WHEN even AND NOT ({_ENDS}) THEN 'active' ELSE 'stopped' END AS status, CASE WHEN {_ENDS} THEN winner WHEN NOT even THEN 'b' END AS winning_variant FROM x JOIN w USING (experiment_id) JOIN g USING (experiment_id)""")
 def experiment_stop(spark, sf):
-    rows = spark.sql("SELECT *, array('control', 'a') AS variants, cast(null AS date) AS end_date FROM VALUES ('e1', 'active', null), ('e2', 'active', null), ('e3', 'stopped', 'b'), ('e4', 'active', null) AS t(experiment_id, status, winning_variant)")
-    winners = spark.sql("SELECT * FROM VALUES ('e1', 'a', true), ('e2', 'a', false), ('e3', 'a', true), ('e4', 'other', true) AS t(experiment_id, winner, significant)")
+    """Half of the experiments run; the variant with most clicks wins, which may be one that isn't declared."""
+    status = F.when(F.col("even"), "active").otherwise("stopped")
+    rows = experiments(spark, sf).select("experiment_id", status.alias("status"), F.array(F.lit("control"), F.lit("a")).alias("variants"), F.lit(None).cast("date").alias("end_date"), F.when(~F.col("even"), "b").alias("winning_variant"))
+    named = log(spark, sf).withColumn("experiment_id", F.col("tenant_id"))
+    clicks = named.groupBy("experiment_id", "variant").agg(F.count_if(F.col("kind") == "click").alias("n"))
+    best = clicks.groupBy("experiment_id").agg(F.max_by("variant", F.struct("n", "variant")).alias("winner"))
+    winners = best.join(named.groupBy("experiment_id").agg((F.count("*") % 3 != 0).alias("significant")), "experiment_id")
     return E.stop(rows, winners, "2024-02-01").select("experiment_id", "status", "winning_variant")
 
 

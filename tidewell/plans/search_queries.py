@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import stats, text, vectors
 from tidewell.operators import search as S
 from tidewell.sources import tables as T
+from tidewell.sources.scratch import stored
 from tidewell.sources.tables import DOCS, POINTS, REQUESTS, TOKEN
 
 from .registry import query
@@ -40,8 +41,9 @@ _CHAIN = f"{_ALL}, {_LEX}, {_VEC}, {_RRF}, {_DOC_VECTORS}"
 
 
 def channels(spark, sf):
+    """Both channels, written once: fusion, reranking and assembly read them again."""
     docs, requests = T.documents(spark, sf), T.requests(spark, sf)
-    return docs, requests, S.lexical_search(docs, requests), S.vector_search(T.points(spark, sf), requests, docs)
+    return docs, requests, stored(S.lexical_search(docs, requests)), stored(S.vector_search(T.points(spark, sf), requests, docs))
 
 
 def doc_vectors(spark, sf):
@@ -100,21 +102,38 @@ def nfc_normalize(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", text.nfc("text").alias("normal"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(text, ' ' || chr(10)), '[ \n]+')) AS w FROM documents)
-SELECT doc_id, count(*) FILTER (WHERE regexp_matches(w, '^[A-Za-z\x{{C0}}-\x{{24F}}]')) AS latin, count(*) FILTER (WHERE NOT regexp_matches(w, '^[A-Za-z\x{{C0}}-\x{{24F}}]')) AS neutral FROM t WHERE w <> '' GROUP BY doc_id""")
+# Made by hand, as the documents have no Cyrillic: what a token starts with decides.
+SCRIPTS = "мир world", "миру3 3мир d'or -x", "ёлка élan 42", "aмир мирa", "ѐж"
+_MADE = " UNION ALL ".join(f"SELECT {-k - 1} AS doc_id, '{t}' AS text".replace("d'or", "d''or") for k, t in enumerate(SCRIPTS))
+_LATIN, _CYRILLIC = r"[A-Za-z\x{C0}-\x{24F}]", r"[\x{400}-\x{4FF}]"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(text, ' ' || chr(10)), '[ \n]+')) AS w FROM (SELECT doc_id, text FROM documents UNION ALL {_MADE})),
+k AS (SELECT doc_id, CASE WHEN regexp_matches(w, '^{_LATIN}') THEN 'latin' WHEN regexp_matches(w, '^{_CYRILLIC}') AND NOT regexp_matches(w, '{_LATIN}') THEN 'cyrillic' WHEN regexp_matches(w, '^{_CYRILLIC}') THEN CASE WHEN regexp_matches(w, '^[^\x{{400}}-\x{{4FF}}]*{_LATIN}') THEN 'latin' ELSE 'neutral' END ELSE 'neutral' END AS kind FROM t WHERE w <> '')
+SELECT doc_id, count(*) FILTER (WHERE kind = 'latin') AS latin, count(*) FILTER (WHERE kind = 'cyrillic') AS cyrillic, count(*) FILTER (WHERE kind = 'neutral') AS neutral FROM k GROUP BY doc_id""")
 def script_split(spark, sf):
-    words = T.read(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("w")).where("w <> ''")
+    made = spark.createDataFrame([(-k - 1, t) for k, t in enumerate(SCRIPTS)], "doc_id long, text string")
+    texts = T.read(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(made)
+    words = texts.select("doc_id", F.explode(F.split("text", r"[ \n]+")).alias("w")).where("w <> ''")
     kind = text.script(F.col("w"))
-    return words.groupBy("doc_id").agg(F.count_if(kind == "latin").alias("latin"), F.count_if(kind == "neutral").alias("neutral"))
+    return words.groupBy("doc_id").agg(*[F.count_if(kind == name).alias(name) for name in ("latin", "cyrillic", "neutral")])
 
 
-@query()
+_BEST = ", ".join(f"{{n: len(list_filter(t, lambda w: list_contains({list(stop)!r}, w))), name: '{name}'}}" for name, stop in text.STOP_WORDS.items())
+
+
+@query(rf"""WITH {DOCS}, t AS (SELECT doc_id, regexp_extract_all(lower(title || chr(10) || content), '{TOKEN}') AS t FROM docs), c AS (SELECT doc_id, [{_BEST}] AS c FROM t),
+s AS (SELECT doc_id, list_sort(c, 'DESC')[1] AS best, list_sum(list_transform(c, lambda x: x.n)) AS total FROM c), r AS (SELECT doc_id, best.name AS name, CASE WHEN total > 0 THEN best.n / total ELSE 0.0 END AS share FROM s)
+SELECT doc_id, CASE WHEN share >= 0.7 THEN name ELSE 'en' END AS language, CAST(round(CASE WHEN share >= 0.7 THEN share ELSE 0.0 END, 6) AS DOUBLE) AS confidence FROM r""")
 def language_detect(spark, sf):
     return T.documents(spark, sf).select("doc_id", text.language(F.concat_ws("\n", "title", "content")).alias("l")).select("doc_id", "l.language", F.round("l.confidence", 6).alias("confidence"))
 
 
-@query()
+@query(rf"""WITH {DOCS}, {REQUESTS}, d AS (SELECT doc_id, list_distinct(list_append(regexp_extract_all(lower(content), '{TOKEN}'), 'i')) AS d FROM docs),
+a AS (SELECT query_id, list_filter(list_distinct(regexp_extract_all(lower(query), '{TOKEN}')), lambda t: regexp_matches(t, '^{_LATIN}')) AS lat FROM rq), w AS (SELECT query_id, list_distinct(list_append(lat, 'i')) AS w FROM a WHERE len(lat) > 0)
+SELECT query_id, doc_id FROM w, d WHERE len(list_intersect(w, d)) = len(w)""")
 def mixed_script_match(spark, sf):
+    """Requests with a Cyrillic word more: documents match by its Latin form."""
     asked = T.requests(spark, sf).select("query_id", F.concat_ws(" ", "query", F.lit("и")).alias("query"))
     docs = T.documents(spark, sf).withColumn("content", F.concat_ws(" ", "content", F.lit("i")))
     return S.mixed_match(docs, asked)
@@ -217,7 +236,16 @@ def rerank_merge(spark, sf):
     return S.apply_rerank(S.rrf(lex, vec), S.mock_scores(S.rerank_candidates(lex, vec)))
 
 
-@query()
+def _overlap(rows: str) -> str:
+    """query_id, doc_id, rank and the plain scorer's score of such rows."""
+    return f"""SELECT query_id, doc_id, x.rank AS rank, CAST(round(1 / (1 + exp(-(4 * len(list_intersect(list_distinct(regexp_extract_all(lower(query), '{TOKEN}')), regexp_extract_all(lower(title || chr(10) || substr(content, 1, 200)), '{TOKEN}')))
+  / greatest(len(list_distinct(regexp_extract_all(lower(query), '{TOKEN}'))), 1) - 2))), 6) AS DOUBLE) AS rerank_score FROM {rows} x JOIN rq USING (query_id) JOIN docs USING (doc_id)"""
+
+
+_SPEC = """early AS (SELECT query_id, doc_id, rank FROM lex WHERE rank <= 10), spec AS (SELECT * FROM early UNION ALL SELECT query_id, doc_id, rank FROM cand ANTI JOIN early USING (query_id, doc_id))"""
+
+
+@query(f"WITH {_CHAIN}, {_CAND}, {_SPEC} {_overlap('spec')}")
 def speculative_rerank(spark, sf):
     docs, requests, lex, vec = channels(spark, sf)
     return S.speculative(lex, vec, lambda c: S.overlap_scores(c, requests, docs))

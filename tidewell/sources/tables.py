@@ -53,7 +53,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
         "element_at(array('pending', 'in_progress', 'done', 'failed', 'dead'), cast(event_id % 5 + 1 as int)) AS status",
         "cast(event_id % 25 as int) AS attempts",
         "element_at(array('Qdrant connection timeout', 'Embedding model failed', 'payload validation error', 'disk is full'), cast(event_id % 4 + 1 as int)) AS last_error",
-        "ts AS updated_at", "ts + make_dt_interval(0, 0, 0, event_id % 600) AS next_retry_at", "concat('t', user_id % 5) AS tenant_id", "concat('m', user_id % 2) AS model_name",
+        "ts - make_dt_interval(0, 1) AS created_at", "ts AS updated_at", "ts + make_dt_interval(0, 0, 0, event_id % 600) AS next_retry_at", "concat('t', user_id % 5) AS tenant_id", "concat('m', user_id % 2) AS model_name",
     )
 
 
@@ -83,7 +83,7 @@ EVENTS = """ev AS (SELECT event_id, ts AS created_at, user_id, 't' || (user_id %
 OUTBOX = """ob AS (SELECT event_id AS id, event_id % 1000 AS document_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op,
   ['pending', 'in_progress', 'done', 'failed', 'dead'][event_id % 5 + 1] AS status, CAST(event_id % 25 AS INT) AS attempts,
   ['Qdrant connection timeout', 'Embedding model failed', 'payload validation error', 'disk is full'][event_id % 4 + 1] AS last_error,
-  ts AS updated_at, ts + to_seconds(event_id % 600) AS next_retry_at, 't' || (user_id % 5) AS tenant_id, 'm' || (user_id % 2) AS model_name FROM events WHERE event_type NOT IN ('view', 'click'))"""
+  ts - INTERVAL 1 HOUR AS created_at, ts AS updated_at, ts + to_seconds(event_id % 600) AS next_retry_at, 't' || (user_id % 5) AS tenant_id, 'm' || (user_id % 2) AS model_name FROM events WHERE event_type NOT IN ('view', 'click'))"""
 REQUESTS = rf"""rq AS (SELECT doc_id AS query_id, source AS tenant_id, array_to_string(regexp_extract_all(lower(text), '{TOKEN}')[1:2], ' ') AS query, 0.5 AS alpha, 10 AS top_k, embedding AS query_vector
   FROM documents LEFT JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) ON vec_id = doc_id WHERE doc_id % 100 = 0)"""
 

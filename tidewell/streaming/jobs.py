@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_LOCAL: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """For sinks and checkpoints: the session's shared folder; a local one only where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="tidewell-stream-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], True)
-        root = f"file://{_LOCAL[0]}"
-    return f"{root}/tidewell-stream/{uuid.uuid4().hex}"
-
+from tidewell.sources.scratch import folder
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As a pattern the path may be a file or a folder of files.
@@ -34,7 +19,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run until the source is used up; the sink's rows. Complete and update results are kept by batch, last one wins."""
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
+    spark, at = stream.sparkSession, folder(stream.sparkSession, "streams")
     schema = stream.schema
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
@@ -74,6 +59,28 @@ def running_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(grouped, "complete")
 
 
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's rows as they are written; the same rule as the table's adapter."""
+    status = F.element_at(F.array(*map(F.lit, ("pending", "in_progress", "done", "failed", "dead"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = event_stream(spark, sf_dir).where("event_type not in ('view', 'click')")
+    return rows.select(F.col("event_id").alias("id"), (F.col("event_id") % 1000).alias("document_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"), status.alias("status"), F.concat(F.lit("t"), F.col("user_id") % 5).alias("tenant_id"), "ts")
+
+
+def publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending rows handed on at least once: a batch that is tried again overwrites its own folder."""
+    at = folder(spark, "streams")
+    pending = _queue(spark, sf_dir).where("status = 'pending'").select("id", "document_id", "op")
+    hand_on = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    pending.writeStream.foreachBatch(hand_on).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("id", "document_id", "op")
+
+
+def lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open rows of each tenant and the time of the oldest."""
+    grouped = _queue(spark, sf_dir).where("status in ('pending', 'failed')").groupBy("tenant_id").agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
+    return drain(grouped.select("tenant_id", "n", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest")), "complete")
+
+
 def breaker_steps(rows, window_ms: int = 60_000, least: int = 5, error_share: float = 0.05, slow_ms: float = 500.0):
     """Request log in order of time to (at, state) after each: closed, open, half_open.
 
@@ -114,20 +121,56 @@ def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, changes int, state string", "changes int, state string", "append", GroupStateTimeout.NoTimeout))
 
 
-def retries(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
-    """user_id, attempts, status, delay: errors are failed attempts, a purchase settles the queue row."""
+def retries(spark: SparkSession, sf_dir: str, most: int = 20, late: str = "1 minute") -> DataFrame:
+    """user_id, attempts, due (microseconds): retries that fall due by the end of what is there.
+
+    An error is a failed attempt and sets a timer for when its backoff is over, `most` of them in a row make the row
+    dead; a purchase settles it. A timer that runs out, by the stream's own time, hands the row out for its next attempt.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, status = state.get if state.exists else (0, "pending")
-        for kind in pd.concat(list(batches)).sort_values(["ts", "event_id"])["event_type"]:
+        attempts, status, due = state.get if state.exists else (0, "pending", 0)
+        if state.hasTimedOut:
+            state.update((attempts, "due", due))
+            yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "due": [due]})
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind, at in zip(rows["event_type"], rows["micros"]):
             if status == "dead":
                 break
             if kind == "error":
-                attempts, status = attempts + 1, "dead" if attempts + 1 >= most else "failed"
-            elif kind == "purchase":
-                attempts, status = 0, "done"
-        state.update((attempts, status))
-        yield pd.DataFrame({"user_id": [key[0]], "attempts": [attempts], "status": [status], "delay_s": [min(10 * 2**attempts, 3600)]})
-
-    stream = event_stream(spark, sf_dir).where("event_type in ('error', 'purchase')").select("event_id", "ts", "user_id", "event_type")
-    return drain(stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, status string, delay_s long", "attempts int, status string", "append", GroupStateTimeout.NoTimeout))
+                attempts, status, due = attempts + 1, "dead" if attempts + 1 >= most else "failed", int(at) + 1_000_000 * min(10 * 2**attempts, 3600)
+            else:
+                attempts, status, due = 0, "done", 0
+        state.update((attempts, status, due))
+        if status == "failed":
+            state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
+
+    stream = event_stream(spark, sf_dir).where("event_type in ('error', 'purchase')").select("event_id", "ts", F.unix_micros("ts").alias("micros"), "user_id", "event_type").withWatermark("ts", late)
+    return drain(stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, attempts int, due long", "attempts int, status string, due long", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def profiles(spark: SparkSession, sf_dir: str, doc_vectors: DataFrame, fast: float = 0.5, slow: float = 0.05, warm: int = 10) -> DataFrame:
+    """user_id, vector, click_count, profile_version: the moving average as state, a row for each batch that moved it;
+    the last version counts."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        vector, n = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for v in rows["vector"]:
+            a, v = fast if n < warm else slow, np.asarray(v, dtype=float)
+            if vector is None:
+                vector = v
+            else:
+                vector = (1 - a) * np.asarray(vector) + a * v
+                length = np.linalg.norm(vector)
+                vector = vector / length if length > 0 else vector
+            n += 1
+        state.update(([float(x) for x in vector], n))
+        yield pd.DataFrame({"user_id": [key[0]], "vector": [[float(x) for x in vector]], "click_count": [n]})
+
+    doc = F.get_json_object("props", "$.k").cast("long")
+    clicks = event_stream(spark, sf_dir).where("event_type = 'click'").select("event_id", "ts", "user_id", doc.alias("doc_id")).join(doc_vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")), "doc_id")
+    versions = drain(clicks.groupBy("user_id").applyInPandasWithState(step, "user_id long, vector array<double>, click_count long", "vector array<double>, n long", "append", GroupStateTimeout.NoTimeout))
+    last = versions.groupBy("user_id").agg(F.max_by("vector", "click_count").alias("vector"), F.max("click_count").alias("click_count"))
+    return last.withColumn("profile_version", F.col("click_count"))
