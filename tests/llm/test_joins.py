@@ -157,7 +157,7 @@ def test_embedding_dedup_recall(spark):
     assert itq.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("tables, flips", [itq.shape(n) for n in (10**6, 10**8)])
+@pytest.mark.parametrize("tables, flips", [itq.shape(n) for n in (10**5, 10**6, 10**8)])
 def test_embedding_dedup_recall_with_longer_substrings(spark, tables, flips):
     """What many rows would make of the tables, on few."""
     rows = near_vectors()

@@ -28,15 +28,16 @@ SAMPLE_ROWS, LEAST_ROWS = 20_000, 16
 BITS = 64
 #: Rows that a bucket has on average, and rows of a bucket block.
 BUCKET, BLOCK = 256, 2048
-#: Share of a code's bits in which two codes may differ; at a cosine of 0.93 an eighth of the bits is expected to.
-RADIUS = 0.34
+#: Share of a code's bits in which two codes may differ; at a cosine of 0.93 an eighth of the bits is expected to, and of
+#: random codes one pair in thirty thousand stays below it.
+RADIUS = 0.25
 THRESHOLD = 0.93
 
 
 def shape(rows: int, bits: int = BITS) -> tuple[int, int]:
     """(tables, least certain bits turned) for this many rows: substrings of log2(rows / BUCKET) bits, 8 at least."""
     length = max(8, math.ceil(math.log2(max(rows, 1) / BUCKET)))
-    return max(2, bits // length), 1 + (length - 8) // 2
+    return max(2, bits // length), 1 + (length - 7) // 2
 
 
 def usable() -> str:

@@ -41,25 +41,37 @@ def size_class():
     return F.expr("case when size < 32 then size else length(bin(size)) * 16 + shiftright(size, length(bin(size)) - 5) - 16 end")
 
 
+def _ordered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows written in this order, with `part` and `at`: the stretch of the order that each is in, and its place there.
+    Stretches are as many as partitions, and sums over what comes before need a row of each only."""
+    numbered = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(numbered.select(*rows.columns, F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), name)[0]
+
+
+def _with_sums_before(ordered: DataFrame, **sums) -> DataFrame:
+    """ordered with, under each name, the sum of a column over all rows before."""
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    ahead = parts.select("part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
+    return ordered.join(ahead, "part").withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}).drop(*[f"_{k}" for k in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
-    """source, source_size, target from (source, size). One row a source, so the sorts below see no more than those."""
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    weighed = per_source.withColumn("weight", weight.cast("long")).withColumn("most", cap * F.col("source_size"))
-    level = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    tried = (
-        weighed.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("left_over", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        # The first source whose cap is not below its share, the caps before it taken off, sets the level.
-        .withColumn("fits", F.col("most") * F.col("left_weight") >= F.col("weight") * F.col("left_over"))
-        .withColumn("level_over", F.min(F.when(F.col("fits"), F.struct(F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"), "left_over", "left_weight"))).over(every))
-    )
-    share = F.col("weight") * F.col("level_over.left_over") / F.col("level_over.left_weight")
-    return tried.select("source", "source_size", F.least(F.col("most").cast("double"), F.coalesce(share, F.lit(0.0))).alias("target"))
+    """source, source_size, target from (source, size). Sources may be many, say hosts: both orders, by code point and by
+    cap over weight, are range-sorted and summed in two levels."""
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    by_name = _with_sums_before(_ordered(per_source, "sources", F.col("source").isNull(), F.col("source")), place="one").drop("part", "at", "one")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    weighed = by_name.withColumn("weight", weight.cast("long")).withColumn("most", cap * F.col("source_size")).drop("place")
+    by_level = _ordered(weighed, "levels", F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source"))
+    total, every = by_level.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    tried = _with_sums_before(by_level, most_before="most", weight_before="weight").withColumn("left_over", total - F.col("most_before")).withColumn("left_weight", every - F.col("weight_before"))
+    # The first source whose cap is not below its share, the caps before it taken off, sets the level.
+    fits = tried.where(F.col("most") * F.col("left_weight") >= F.col("weight") * F.col("left_over"))
+    level = fits.agg(F.min(F.struct("part", "at", "left_over", "left_weight")).alias("l")).first().l
+    share = F.col("weight") * F.lit(level.left_over) / F.lit(level.left_weight) if level else F.lit(0.0)
+    return by_level.select("source", "source_size", F.least(F.col("most").cast("double"), share).alias("target"))
 
 
 def _narrow(docs: DataFrame, *key) -> DataFrame:

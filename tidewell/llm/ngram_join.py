@@ -251,13 +251,16 @@ class Trie:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (anchor, member) pairs whose sets link. Members come in blocks of about BLOCK beside their anchor's set."""
-    pairs = pairs.select("anchor", "member").distinct()
+    """The (anchor, member) pairs whose sets link, written. Members come in blocks of about BLOCK beside their anchor's
+    set. Each step reads a table, so that plans, and what the driver keeps of them, stay small."""
+    spark = docs.sparkSession
+    pairs, pairs_path = materialize(pairs.select("anchor", "member").distinct(), "asked")
     sized = beside(pairs, "anchor", "member", F.count("*").alias("n"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = sized.select("anchor", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block"), "member", F.lit(1).alias("role"))
     sizes = pairs.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     anchors = sizes.select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("anchor").alias("member"), F.lit(0).alias("role"))
-    wanted = members.unionByName(anchors)
+    wanted, wanted_path = materialize(members.unionByName(anchors), "dealt")
+    discard(spark, pairs_path)
     involved = wanted.select(F.col("member").alias("doc_id")).distinct()
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(involved, "doc_id", "left_semi")
     schema = pa.schema([("member", pa.int64()), ("hashes", pa.binary())])
@@ -302,7 +305,9 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
             a, b = close(key[0], probes, group)
             yield _rows(a, [b], found)
 
-    return dealt.mapInArrow(decide, "anchor long, member long")
+    linked, _ = materialize(dealt.mapInArrow(decide, "anchor long, member long"), "links")
+    discard(spark, wanted_path)
+    return linked
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
@@ -314,7 +319,9 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     """doc_id, n_shingles, component_id for every row.
 
     A text without words has the empty set, links with nothing and is its own component; so do null texts. Rows that
-    share an id are one node with all their texts. Rows without an id get the smallest id they reach, if any.
+    share an id are one node with all their texts. Rows without an id get the smallest id they reach, if any. An empty
+    table gives none; of other columns none is read, so their names don't matter; very long texts are hashed whole.
+    Words and shingles stand as 64-bit hashes: two that differ are taken for one with a chance of 2**-64 a pair.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -332,7 +339,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     chosen = linkable.join(F.broadcast(doubles) if doubles.count() <= BROADCAST_ROWS else doubles, ["doc_id", "d1", "d2"], "left_anti").where("doc_id is not null")
     # One row an id; an id with several texts keeps all its hashes and skips the filters by size and place.
     sizes = chosen.groupBy(F.col("doc_id").alias("doc")).agg(F.max("size").alias("size"), F.sum(F.size("low")).alias("lows"), (F.count("*") > 1).alias("loose"))
-    sizes, _ = materialize(sizes.withColumn("prefix", F.expr(f"size - ceil({percent} * size / 100D) + 1")), "sizes")
+    sizes, sizes_path = materialize(sizes.withColumn("prefix", F.expr(f"size - ceil({percent} * size / 100D) + 1")), "sizes")
     low = _shared(chosen.select(F.explode("low").alias("token"), F.col("doc_id").alias("doc")))
     kept, kept_path = materialize(low.join(sizes, "doc"), "low")
     discard(spark, wide_path)
@@ -354,6 +361,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     )
     prefixes, prefixes_path = materialize(ordered, "prefixes")
     discard(spark, kept_path)
+    discard(spark, sizes_path)
     release(spark)
 
     firsts = prefixes.groupBy("token").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last")).where("anchor < last")
@@ -364,7 +372,8 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     texts_of = listed.where("size > 0 and doc_id is not null").drop("size").distinct()
     several = texts_of.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("texts")).where("texts > 1").select("doc_id")
     same_id = texts_of.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2", "salt"]).select(F.col("doc_id").alias("anchor"), F.col("rep").alias("member")).where("anchor <> member").distinct()
-    first_edges, _ = materialize(verify(near, docs, n, percent).unionByName(same_id), "links")
+    same, _ = materialize(same_id, "same")
+    first_edges = verify(near, docs, n, percent).unionByName(same)
     release(spark)
     first = connected_components(first_edges)
 
@@ -384,8 +393,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     pairs, pairs_path = materialize(across.distinct(), "pairs")
     edges = first_edges
     if not pairs.isEmpty():
-        second_edges, _ = materialize(verify(pairs, docs, n, percent), "links")
-        edges = first_edges.unionByName(second_edges)
+        edges = first_edges.unionByName(verify(pairs, docs, n, percent))
         first = connected_components(edges)
     discard(spark, prefixes_path)
     discard(spark, pairs_path)

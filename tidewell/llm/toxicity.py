@@ -108,11 +108,15 @@ class ToxicityModel:
             found = [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in excused)]
         return found
 
-    def level(self, text: str, power: float | None = None) -> tuple[float, int]:
+    def sums(self, text: str) -> tuple[float, int, int]:
+        """Weight of the hits, number of words, number of hits."""
         text = shown(text)
         hits = self.hits(text)
-        words = max(1, text.count(" ") + text.count("\n") + 1)
-        return math.log1p(sum(h[2] for h in hits) * 20 / words ** (self.power if power is None else power)), len(hits)
+        return sum(h[2] for h in hits), max(1, text.count(" ") + text.count("\n") + 1), len(hits)
+
+    def level(self, text: str) -> tuple[float, int]:
+        weight, words, n = self.sums(text)
+        return math.log1p(weight * 20 / words**self.power), n
 
     def score(self, text: str) -> tuple[float, int]:
         level, n = self.level(text)
@@ -126,37 +130,42 @@ def learn(rows: list[tuple[str, int]], min_share: float = 0.01, min_z: float = 3
     A word joins when min_share of the toxic texts have it and its log-odds stand min_z standard errors above 0.
     The exponent of the length is the one with the least loss on the rows.
     """
-    seen, counts, sizes = set(), (Counter(), Counter()), [0, 0]
-    contexts = (Counter(), Counter())
-    kept = []
+    folded = lambda text: [fold(w) for w in _WORD.findall(shown(text))]
+    seen, kept, sizes, toxic = set(), [], [0, 0], Counter()
     for text, label in rows:
-        words = [fold(w) for w in _WORD.findall(shown(text))]
+        words = folded(text)
         key = (_near_key(words), label)
-        if key in seen:
-            continue
-        seen.add(key)
-        sizes[label] += 1
-        counts[label].update(set(words))
-        kept.append((words, label))
+        if key not in seen:
+            seen.add(key)
+            kept.append((text, label))
+            sizes[label] += 1
+            if label:
+                toxic.update(set(words))
+    # Only words that enough toxic texts have are counted in the others: texts are read again rather than held as words.
+    likely = {w: t for w, t in toxic.items() if len(w) >= 3 and t >= max(3, min_share * sizes[1])}
+    clean = Counter()
+    for text, label in kept:
+        if not label:
+            clean.update(likely.keys() & set(folded(text)))
     lexicon = {}
-    for word, t in counts[1].items():
-        c = counts[0][word]
-        if len(word) < 3 or t < max(3, min_share * sizes[1]):
-            continue
+    for word, t in likely.items():
+        c = clean[word]
         odds = math.log((t + 0.5) / (sizes[1] + 1)) - math.log((c + 0.5) / (sizes[0] + 1))
         if odds / math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= min_z and t / (sizes[1] + 1) > 10 * c / (sizes[0] + 1):
             lexicon[word] = round(odds, 6)
     if not lexicon:
         return ToxicityModel(dict(DEFAULT_LEXICON))
-    for words, label in kept:
+    contexts = (Counter(), Counter())
+    for text, label in kept:
+        words = folded(text)
         for a, b in zip(words, words[1:]):
             if a in lexicon or b in lexicon:
                 contexts[label][f"{a} {b}"] += 1
     learned = sorted(p for p, n in contexts[0].items() if n >= 2 and not contexts[1][p])
     model = ToxicityModel(lexicon, tuple(dict.fromkeys((*DEFAULT_EXCEPTIONS, *learned))))
-    best = None
+    best, sums = None, [model.sums(text) for text, _ in rows]
     for power in (0.1, 0.25, 0.5):
-        levels = [model.level(text, power)[0] for text, _ in rows]
+        levels = [math.log1p(weight * 20 / words**power) for weight, words, _ in sums]
         slope, shift, loss = _logistic(levels, [label for _, label in rows])
         if best is None or loss < best[0] - 1e-9:
             best = (loss, power, slope, shift)
