@@ -122,9 +122,9 @@ def test_scripts_and_transliteration(spark):
 
 
 def test_profiles():
-    v = np.array([[1.0, 0.0], [0.0, 1.0]])
-    assert profiles.ema(v[:1], lambda i: 0.5).tolist() == [1.0, 0.0]
-    assert profiles.ema(v, lambda i: 0.5).tolist() == pytest.approx([2**-0.5, 2**-0.5])
+    first = profiles.moved(None, 0, [1.0, 0.0], 0.5, 0.05, 10)
+    assert first.tolist() == [1.0, 0.0] and profiles.moved(first, 1, [0.0, 1.0], 0.5, 0.05, 10).tolist() == pytest.approx([2**-0.5, 2**-0.5])
+    assert profiles.moved(first, 10, [0.0, 1.0], 0.5, 0.05, 10).tolist() == pytest.approx((np.array([0.95, 0.05]) / np.hypot(0.95, 0.05)).tolist())
 
 
 def test_breaker_states():

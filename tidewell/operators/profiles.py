@@ -19,32 +19,44 @@ def time_of_day(at: Column) -> Column:
     return F.when(h.between(6, 11), "morning").when(h.between(12, 17), "afternoon").when(h >= 18, "evening").otherwise("night")
 
 
-def ema(vectors: np.ndarray, alpha) -> np.ndarray:
-    """Moving average that is scaled to length one at each step; the first vector starts it."""
-    state = None
-    for i, v in enumerate(np.asarray(vectors, dtype=float)):
-        a = alpha(i)
-        state = v if state is None else (1 - a) * state + a * v
-        length = np.linalg.norm(state)
-        state = state / length if i and length > 0 else state
-    return state
+def moved(state, n: int, vector, fast: float, slow: float, warm: int):
+    """The average after one more vector; the first starts it, later ones leave it at length one."""
+    v = np.asarray(vector, dtype=float)
+    if state is None:
+        return v
+    a = fast if n < warm else slow
+    state = (1 - a) * state + a * v
+    length = np.linalg.norm(state)
+    return state / length if length > 0 else state
 
 
 def profile_updates(clicks: DataFrame, doc_vectors: DataFrame, keys: list[str], fast: float = 0.5, slow: float = 0.05, warm: int = 10) -> DataFrame:
     """keys, vector, click_count, profile_version after all clicks in order of (created_at, event_id).
 
-    The average is a chain, so a key's clicks go to one task; they are cut to (time, document) before, and documents
-    that repeat share one vector. Steps forget by (1 - slow) each, but no click is dropped for that.
+    The average is a chain, so a key's clicks go to one task, sorted; they pass in batches, and only the average is held,
+    however long a history is.
     """
     joined = clicks.select(*keys, "created_at", "event_id", F.col("clicked_doc_id").alias("doc_id")).join(doc_vectors.select("doc_id", "vector"), "doc_id")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "event_id"])
-        vector = ema(np.stack(pdf["vector"].to_list()), lambda i: fast if i < warm else slow)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "vector": vector.tolist(), "click_count": len(pdf), "profile_version": len(pdf)}])
+    dealt = joined.repartition(*keys).sortWithinPartitions(*keys, "created_at", "event_id").select(*keys, "vector")
+
+    def fold(batches):
+        key, state, n = None, None, 0
+        row = lambda: {**dict(zip(keys, key)), "vector": state.tolist(), "click_count": n, "profile_version": n}
+        for pdf in batches:
+            done = []
+            for *here, vector in pdf.itertuples(index=False, name=None):
+                if key is None or any(a != b and not (a != a and b != b) for a, b in zip(here, key)):  # a null may come as NaN
+                    if n:
+                        done.append(row())
+                    key, state, n = here, None, 0
+                state, n = moved(state, n, vector, fast, slow, warm), n + 1
+            if done:
+                yield pd.DataFrame(done)
+        if n:
+            yield pd.DataFrame([row()])
 
     types = dict(joined.dtypes)
-    return joined.groupBy(*keys).applyInPandas(fold, ", ".join(f"{k} {types[k]}" for k in keys) + ", vector array<double>, click_count long, profile_version long")
+    return dealt.mapInPandas(fold, ", ".join(f"{k} {types[k]}" for k in keys) + ", vector array<double>, click_count long, profile_version long")
 
 
 def with_profile(requests: DataFrame, context: DataFrame, default: DataFrame) -> DataFrame:

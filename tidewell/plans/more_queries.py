@@ -25,6 +25,15 @@ def archive_read(spark, sf):
     return files.read_days(spark, path, "2024-01-05", "2024-01-07").select("event_id", "event_date")
 
 
+@query("SELECT event_type, count(*) AS n, 'search-events/20240110.parquet' AS archive_key FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11' GROUP BY event_type")
+def event_archive(spark, sf):
+    """The log appended by day, and one day of it read alone under its key."""
+    path = folder(spark, "archive")
+    E.archive(T.events(spark, sf), path)
+    day = spark.read.parquet(path).where(F.col("event_date") == F.lit("2024-01-10").cast("date"))
+    return day.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("archive_key", F.lit("search-events/20240110.parquet"))
+
+
 @query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
 def archive_retention(spark, sf):
     """Days before the 15th dropped from a written log; what is left."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewell.operators.profiles import moved
 from tidewell.sources.scratch import folder
 
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As a pattern the path may be a file or a folder of files.
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -87,21 +91,28 @@ def breaker_steps(rows, window_ms: int = 60_000, least: int = 5, error_share: fl
     Opens when, in the window, errors reach their share or the 95th percentile of successes passes slow_ms; after a
     window's length the next request probes.
     """
-    seen, state, opened = [], "closed", 0
+    seen, good, errors, state, opened = deque(), [], 0, "closed", 0
     for at, ok, latency in rows:
         if state == "open" and at - opened >= window_ms:
             state = "half_open"
-        seen = [s for s in seen if s[0] > at - window_ms] + [(at, ok, latency)]
+        while seen and seen[0][0] <= at - window_ms:
+            _, was_ok, was = seen.popleft()
+            if was_ok:
+                del good[bisect_left(good, was)]
+            else:
+                errors -= 1
+        seen.append((at, ok, latency))
+        if ok:
+            insort(good, latency)
+        else:
+            errors += 1
         if state == "half_open":
             state, opened = ("closed", opened) if ok else ("open", at)
         elif state == "closed" and len(seen) >= least:
-            good = sorted(s[2] for s in seen if s[1])
-            p95 = good[0] + 0.0 if len(good) == 1 else 0.0
-            if len(good) > 1:
-                place = 0.95 * (len(good) - 1)
-                low = int(place)
-                p95 = good[low] + (place - low) * (good[min(low + 1, len(good) - 1)] - good[low])
-            if sum(not s[1] for s in seen) / len(seen) >= error_share or p95 > slow_ms:
+            place = 0.95 * (len(good) - 1)
+            low = int(place)
+            p95 = good[low] + (place - low) * (good[min(low + 1, len(good) - 1)] - good[low]) if good else 0.0
+            if errors / len(seen) >= error_share or p95 > slow_ms:
                 state, opened = "open", at
         yield at, state
 
@@ -157,15 +168,9 @@ def profiles(spark: SparkSession, sf_dir: str, doc_vectors: DataFrame, fast: flo
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         vector, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        vector = None if vector is None else np.asarray(vector)
         for v in rows["vector"]:
-            a, v = fast if n < warm else slow, np.asarray(v, dtype=float)
-            if vector is None:
-                vector = v
-            else:
-                vector = (1 - a) * np.asarray(vector) + a * v
-                length = np.linalg.norm(vector)
-                vector = vector / length if length > 0 else vector
-            n += 1
+            vector, n = moved(vector, n, v, fast, slow, warm), n + 1
         state.update(([float(x) for x in vector], n))
         yield pd.DataFrame({"user_id": [key[0]], "vector": [[float(x) for x in vector]], "click_count": [n]})
 
