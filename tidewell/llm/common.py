@@ -63,7 +63,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the session drop the shuffle files of results that nothing refers to, now that they are written out."""
+    """Let the session drop the shuffle files and broadcasts of results that nothing refers to, now that they are written
+    out, and the driver give back the memory of their plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -120,6 +121,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         settled = state == seen and following.join(current, ["u", "v"], "left_anti").isEmpty()
         discard(spark, path)
         discard(spark, large_path)
+        release(spark)
         current, path, state = following, new_path, seen
         if settled:
             break

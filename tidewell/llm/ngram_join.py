@@ -307,6 +307,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
 
     linked, _ = materialize(dealt.mapInArrow(decide, "anchor long, member long"), "links")
     discard(spark, wanted_path)
+    release(spark)
     return linked
 
 

@@ -22,6 +22,8 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 PRECISION = 0.95
 TREES, DEPTH, RATE = 24, 3, 0.3
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
@@ -324,6 +326,7 @@ def fit(spark, seed: int = 3, precision: float = PRECISION) -> tuple[Trees, dict
                 best = (m + scored[i][0]) / 2 if i < len(scored) else min(m, 0.0)
         thresholds[kind] = max(best, 0.0) if best is not None else 1e9
     _FITTED[seed, precision] = trees, thresholds
+    release(spark)
     return trees, thresholds
 
 

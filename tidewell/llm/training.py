@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Labelled rows, and bytes of their texts, that a classifier is fitted on at most: the bounds of what reaches the driver.
 MAX_ROWS, MAX_BYTES = 6000, 32_000_000
 
@@ -29,8 +31,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, h
     # No more than max_rows rows come to this window.
     upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(20240)), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     rows = one.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return [(r.text, r.label) for r in rows]
+    rows = [(r.text, r.label) for r in sorted(rows, key=lambda r: r.doc_id)]
+    release(docs.sparkSession)
+    return rows
 
 
 def held_out(folds: int, held_out_fold: int):
