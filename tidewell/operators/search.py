@@ -101,9 +101,10 @@ def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SI
     most = asked.agg(F.max("nq")).first()[0] or 0
     limit = int(most / above) + 1
     text = lambda content: F.concat_ws(" ", "title", content)
-    few = docs.where(F.size(X.trigrams(text(F.substring("content", 1, 4 * limit)))) <= limit + 1)
-    offered = few.select("tenant_id", "doc_id", X.trigrams(text(F.col("content"))).alias("d")).withColumn("nd", F.size("d")).where(F.col("nd") <= limit)
-    held = offered.select("tenant_id", "doc_id", "nd", F.explode("d").alias("trigram"))
+    # As a value and not as a filter, and with an outer explode: filters on `d` would be pushed down and work it out again.
+    short = F.size(X.trigrams(text(F.substring("content", 1, 4 * limit)))) <= limit + 1
+    offered = docs.select("tenant_id", "doc_id", F.when(short, X.trigrams(text(F.col("content")))).alias("d"))
+    held = offered.select("tenant_id", "doc_id", F.size("d").alias("nd"), F.explode_outer("d").alias("trigram")).where("trigram is not null")
     wanted = asked.select("query_id", "tenant_id", "nq", F.explode("q").alias("trigram"))
     met = held.join(small(wanted), ["tenant_id", "trigram"]).where(F.least("nq", "nd") > above * F.greatest("nq", "nd"))
     shared = met.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
