@@ -102,7 +102,7 @@ def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SI
     limit = int(most / above) + 1
     text = lambda content: F.concat_ws(" ", "title", content)
     # As a value and not as a filter, and with an outer explode: filters on `d` would be pushed down and work it out again.
-    short = F.size(X.trigrams(text(F.substring("content", 1, 4 * limit)))) <= limit + 1
+    short = F.size(X.trigrams(text(F.substring("content", 1, 2 * limit)))) <= limit + 1
     offered = docs.select("tenant_id", "doc_id", F.when(short, X.trigrams(text(F.col("content")))).alias("d"))
     held = offered.select("tenant_id", "doc_id", F.size("d").alias("nd"), F.explode_outer("d").alias("trigram")).where("trigram is not null")
     wanted = asked.select("query_id", "tenant_id", "nq", F.explode("q").alias("trigram"))
