@@ -61,6 +61,24 @@ def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     assert sum(len(t) for t, _ in training.labelled_texts(docs, labels, "quality", 3, 5, max_bytes=350)) <= 350
 
 
+def test_a_long_text_is_left_out_by_itself(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "0 AS toxic")
+    every = training.labelled_texts(docs, labels, "quality", 3, 5, max_bytes=3200)
+    longer = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.repeat(F.lit("x"), F.lit(5000))).otherwise(F.col("text")))
+    assert len(every) == 40 and training.labelled_texts(longer, labels, "quality", 3, 5, max_bytes=3200) == [r for r in every if r[0] not in {"text 3", "text 13", "text 23", "text 33"}]
+
+
+def test_matching_is_linear_in_the_matches():
+    import time
+
+    model = toxicity.ToxicityModel({"trash": 3.0}, ("trash can",))
+    text = "the trash can and trash can, " * 36_000  # 1 MB of excused matches
+    began = time.time()
+    assert model.hits(text) == [] and len(model.hits(text + "trash")) == 1
+    assert time.time() - began < 6
+
+
 def test_matches_against_a_plain_search():
     rng = random.Random(5)
     parts = ["id", "10t", "idiot", "trash", "can", "trash can", "tr4sh", "ЅСum", "scum", " ", ".", "l", "1", "é", "\u200b", "I", "clown", "fish"]

@@ -58,6 +58,24 @@ def test_pii_with_many_spans(spark):
     assert len(found[7].spans.split(",")) > 3000
 
 
+def test_overlapping_proposals_are_chosen_by_score(spark):
+    """Of a chain the outer two stay; in general as a greedy choice by score, then place, does it."""
+    rng = random.Random(15)
+    cases = [[(0, 10, 1, 3.0), (8, 20, 2, 2.0), (18, 30, 1, 1.0)], [], [(0, 4, 1, 1.0)]]
+    for n in (2, 5, 40, 300):
+        spans = [(s, s + rng.randint(1, 9), rng.randint(1, 3), float(rng.randint(0, 5))) for s in (rng.randint(0, 4 * n) for _ in range(n))]
+        cases.append(sorted(set(spans)))
+    better = "o.m > x.m or (o.m = x.m and (o.start < x.start or (o.start = x.start and (o.end > x.end or (o.end = x.end and o.kind < x.kind)))))"
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, scored array<struct<start:int,end:int,kind:int,m:double>>").select("k", F.expr(f"array_sort({pii._chosen('scored', better)})").alias("s")).collect()
+    for k, got in rows:
+        want = []
+        for x in sorted(cases[k], key=lambda x: (-x[3], x[0], -x[1], x[2])):
+            if not any(o[0] < x[1] and x[0] < o[1] for o in want):
+                want.append(x)
+        assert [tuple(g) for g in got] == sorted(want)
+    assert [tuple(g)[:2] for g in rows[0].s] == [(0, 10), (18, 30)]
+
+
 def test_pii_cost_stays_near_the_length(spark):
     import time
 

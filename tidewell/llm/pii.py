@@ -120,6 +120,14 @@ def _clear(spans: str, others: str, beats: str = "true") -> str:
     return f"case when size({spans}) = 0 or size({others}) = 0 then {spans} else {whole} end"
 
 
+def _chosen(spans: str, better: str) -> str:
+    """Of spans that overlap the better ones: in rounds, those that no better one touches, and then only what they leave.
+    The best of a round always stays, so rounds end; spans is a name of an array sorted by start."""
+    won = _let("w", _clear("cl", "cl", better), f"named_struct('left', {_clear('cl', 'w')}, 'won', concat(a.won, w))")
+    step = f"case when size(a.left) = 0 then a else {_let('cl', 'a.left', won)} end"
+    return f"case when size({spans}) < 2 then {spans} else aggregate(sequence(1, size({spans})), named_struct('left', {spans}, 'won', filter({spans}, x -> false)), (a, n) -> {step}, a -> a.won) end"
+
+
 def _luhn(digits: str) -> str:
     value = f"cast(substring(reverse({digits}), i, 1) as int)"
     return f"aggregate(sequence(1, length({digits})), 0, (a, i) -> a + if(i % 2 = 1, {value}, if({value} > 4, 2 * {value} - 9, 2 * {value}))) % 10 = 0"
@@ -339,7 +347,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return (
         with_proposals(with_base(docs))
         .withColumn("scored", F.expr(f"filter(transform(proposals, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'm', {trees.sql()})), x -> x.m >= element_at({limits}, x.kind + 1))"))
-        .withColumn("scored", F.expr(_clear("scored", "scored", better)))
+        .withColumn("scored", F.expr(_chosen("scored", better)))
         .withColumn("spans", F.expr(f"array_sort(concat(transform(base, x -> {plain}), transform(scored, x -> {plain})))"))
         .drop("proposals", "scored", "digits")
     )

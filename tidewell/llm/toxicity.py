@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,7 +107,10 @@ class ToxicityModel:
                 continue
             (excused if weight is None else found).append((start, end, weight))
         if excused:
-            found = [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in excused)]
+            # Of the phrases that start at or before a hit, the furthest end tells whether one of them holds it.
+            excused.sort(key=lambda x: x[0])
+            starts, furthest = [x[0] for x in excused], list(accumulate((x[1] for x in excused), max))
+            found = [h for h in found if not (k := bisect_right(starts, h[0])) or furthest[k - 1] < h[1]]
         return found
 
     def sums(self, text: str) -> tuple[float, int, int]:
