@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,13 +31,13 @@ def finite(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Length one; a zero vector stays."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    divisor = lambda v: let(norm(v), lambda n: F.when(n > 0, n).otherwise(F.lit(1.0)))
+    return let(a, lambda v: let(divisor(v), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def weighted_mean(vectors: Column, weights: Column) -> Column:
     """Sum of w * v over the sum of w, of length one; null where there is no vector."""
-    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
     scaled = F.zip_with(vectors, weights, lambda v, w: F.transform(v, lambda x: x.cast("double") * w))
-    added = F.aggregate(F.slice(scaled, 2, 100000), F.element_at(scaled, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    return F.when(F.size(vectors) > 0, unit(F.transform(added, lambda x: x / total)))
+    added = let(scaled, lambda s: F.aggregate(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), F.element_at(s, 1), lambda t, v: F.zip_with(t, v, lambda x, y: x + y)))
+    mean = let(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w), lambda total: F.transform(added, lambda x: x / total))
+    return F.when(F.size(vectors) > 0, unit(mean))

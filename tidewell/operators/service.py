@@ -11,6 +11,7 @@ from tidewell.functions import text as X
 from tidewell.functions import vectors as V
 from tidewell.operators import indexing
 from tidewell.operators.search import live, small
+from tidewell.sources.scratch import stored
 
 #: Seconds that entries live: contents, queries, failures (and how far those are spread).
 CONTENT_TTL, QUERY_TTL, NEGATIVE_TTL, JITTER = 30 * 86400, 3600, 60, 10
@@ -65,17 +66,16 @@ def from_bytes(data: pd.Series) -> pd.Series:
 
 def token_embedding(text: Column) -> Column:
     """A plain model in a real one's place: counts of tokens by a digit of their digest, scaled to length one."""
-    kinds = F.transform(X.tokens(text), lambda t: F.substring(F.md5(t), 1, 1))
-    is_kind = lambda digit: lambda k: k == digit
-    counts = F.array(*[F.size(F.filter(kinds, is_kind(f"{i:x}"))).cast("double") for i in range(DIMENSIONS)])
-    return V.unit(counts)
+    kinds = F.transform(X.tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int"))
+    count = lambda ks: lambda i: F.size(F.filter(ks, lambda k: k == i)).cast("double")
+    return V.unit(V.let(kinds, lambda ks: F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), count(ks))))
 
 
 def embed_texts(texts: DataFrame, embed=token_embedding, column: str = "text") -> DataFrame:
     """texts with `vector`. embed(text) gives a column: an expression, or a pandas UDF around a model, which must give a
     vector for each text; a null one fails the query, as fewer vectors than texts would."""
-    vector = embed(F.col(column))
-    return texts.withColumn("vector", F.when(vector.isNull() & F.col(column).isNotNull(), F.raise_error(F.lit("fewer vectors than texts")).cast("array<double>")).otherwise(vector))
+    missing = F.raise_error(F.lit("fewer vectors than texts")).cast("array<double>")
+    return texts.withColumn("vector", V.let(embed(F.col(column)), lambda v: F.when(v.isNull() & F.col(column).isNotNull(), missing).otherwise(v)))
 
 
 def embed_cached(wanted: DataFrame, cache: DataFrame, negative: DataFrame, now: str, embed=token_embedding) -> DataFrame:
@@ -85,15 +85,19 @@ def embed_cached(wanted: DataFrame, cache: DataFrame, negative: DataFrame, now:
     fresh = lambda t, *c: t.where(F.col("expires_at") > at).select("key", *c)
     keys = wanted.groupBy("key").agg(F.min("text").alias("text"))
     known = keys.join(fresh(cache, F.col("vector").alias("held")), "key", "left").join(fresh(negative, F.lit(True).alias("barred")).distinct(), "key", "left")
-    new = embed(F.col("text"))
-    tried = known.withColumn("vector", F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("barred").isNull(), new))
-    bad = ~F.coalesce(V.finite(F.col("vector")), F.lit(False)) | (V.norm(F.col("vector")) == 0)
-    outcome = F.when(F.col("held").isNotNull(), "hit").when(F.col("barred"), "negative").when(bad, "failed").otherwise("computed")
-    return tried.select("key", outcome.alias("outcome"), F.when(outcome.isin("hit", "computed"), F.col("vector")).alias("vector"))
+    bad = lambda v: ~F.coalesce(V.finite(v), F.lit(False)) | (V.norm(v) == 0)
+    result = lambda outcome, vector: F.struct(F.lit(outcome).alias("outcome"), vector.cast("array<double>").alias("vector"))
+    none = F.lit(None)
+    tried = V.let(embed(F.col("text")), lambda v: F.when(bad(v), result("failed", none)).otherwise(result("computed", v)))
+    done = F.when(F.col("held").isNotNull(), result("hit", F.col("held"))).when(F.col("barred"), result("negative", none)).otherwise(tried)
+    return known.select("key", done.alias("r")).select("key", "r.outcome", "r.vector")
 
 
 def cache_rows(embedded: DataFrame, now: str, ttl: int = CONTENT_TTL) -> tuple[DataFrame, DataFrame]:
-    """Rows to add to the cache and to the failures, with when they expire; failures are spread by their key."""
+    """Rows to add to the cache and to the failures, with when they expire; failures are spread by their key.
+
+    What was embedded is written first: a filter on the outcome would reach down and embed each text again."""
+    embedded = stored(embedded)
     at = F.lit(now).cast("timestamp_ntz")
     spread = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int") % (2 * JITTER + 1) - JITTER
     later = lambda seconds: at + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
