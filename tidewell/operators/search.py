@@ -90,6 +90,15 @@ def token_matches(docs: DataFrame, requests: DataFrame) -> DataFrame:
     return met.where("found = n").select("query_id", "doc_id", F.round(F.col("saturated") / F.col("n"), 6).alias("token_rank"))
 
 
+def short_trigrams(docs: DataFrame, limit: int) -> DataFrame:
+    """tenant_id, doc_id, d: the trigrams of title and content, null where there are more than the limit."""
+    text = lambda content: F.concat_ws(" ", "title", content)
+    # As a value and not as a filter: filters on `d` would be pushed down and work it out again.
+    short = F.size(X.trigrams(text(F.substring("content", 1, 2 * limit)))) <= limit + 1
+    whole = V.let(F.when(short, X.trigrams(text(F.col("content")))), lambda d: F.when(F.size(d) <= limit, d))
+    return docs.select("tenant_id", "doc_id", whole.alias("d"))
+
+
 def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SIMILARITY) -> DataFrame:
     """query_id, doc_id, similarity: pairs of the tenant over the bound.
 
@@ -100,10 +109,7 @@ def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SI
     asked = requests.select("query_id", "tenant_id", X.trigrams(F.col("query")).alias("q")).withColumn("nq", F.size("q"))
     most = asked.agg(F.max("nq")).first()[0] or 0
     limit = int(most / above) + 1
-    text = lambda content: F.concat_ws(" ", "title", content)
-    # As a value and not as a filter, and with an outer explode: filters on `d` would be pushed down and work it out again.
-    short = F.size(X.trigrams(text(F.substring("content", 1, 2 * limit)))) <= limit + 1
-    offered = docs.select("tenant_id", "doc_id", F.when(short, X.trigrams(text(F.col("content")))).alias("d"))
+    offered = short_trigrams(docs, limit)
     held = offered.select("tenant_id", "doc_id", F.size("d").alias("nd"), F.explode_outer("d").alias("trigram")).where("trigram is not null")
     wanted = asked.select("query_id", "tenant_id", "nq", F.explode("q").alias("trigram"))
     met = held.join(small(wanted), ["tenant_id", "trigram"]).where(F.least("nq", "nd") > above * F.greatest("nq", "nd"))
