@@ -85,36 +85,50 @@ def lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(grouped.select("tenant_id", "n", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest")), "complete")
 
 
-def breaker_steps(rows, window_ms: int = 60_000, least: int = 5, error_share: float = 0.05, slow_ms: float = 500.0):
-    """Request log in order of time to (at, state) after each: closed, open, half_open.
+class Breaker:
+    """A breaker over a request log in order of time: closed, open, half_open.
 
     Opens when, in the window, errors reach their share or the 95th percentile of successes passes slow_ms; after a
-    window's length the next request probes.
+    window's length the next request probes. `seen` has the requests of the window: (at, ok, latency).
     """
-    seen, good, errors, state, opened = deque(), [], 0, "closed", 0
-    for at, ok, latency in rows:
-        if state == "open" and at - opened >= window_ms:
-            state = "half_open"
-        while seen and seen[0][0] <= at - window_ms:
+
+    def __init__(self, window_ms: int = 60_000, least: int = 5, error_share: float = 0.05, slow_ms: float = 500.0, state: str = "closed", opened: int = 0, seen=()):
+        self.window_ms, self.least, self.error_share, self.slow_ms = window_ms, least, error_share, slow_ms
+        self.state, self.opened, self.seen = state, opened, deque(seen)
+        self.good, self.errors = sorted(x[2] for x in self.seen if x[1]), sum(not x[1] for x in self.seen)
+
+    def step(self, at: int, ok: bool, latency: float) -> str:
+        """The state after a request."""
+        if self.state == "open" and at - self.opened >= self.window_ms:
+            self.state = "half_open"
+        seen, good = self.seen, self.good
+        while seen and seen[0][0] <= at - self.window_ms:
             _, was_ok, was = seen.popleft()
             if was_ok:
                 del good[bisect_left(good, was)]
             else:
-                errors -= 1
+                self.errors -= 1
         seen.append((at, ok, latency))
         if ok:
             insort(good, latency)
         else:
-            errors += 1
-        if state == "half_open":
-            state, opened = ("closed", opened) if ok else ("open", at)
-        elif state == "closed" and len(seen) >= least:
+            self.errors += 1
+        if self.state == "half_open":
+            self.state, self.opened = ("closed", self.opened) if ok else ("open", at)
+        elif self.state == "closed" and len(seen) >= self.least:
             place = 0.95 * (len(good) - 1)
             low = int(place)
             p95 = good[low] + (place - low) * (good[min(low + 1, len(good) - 1)] - good[low]) if good else 0.0
-            if errors / len(seen) >= error_share or p95 > slow_ms:
-                state, opened = "open", at
-        yield at, state
+            if self.errors / len(seen) >= self.error_share or p95 > self.slow_ms:
+                self.state, self.opened = "open", at
+        return self.state
+
+
+def breaker_steps(rows, **settings):
+    """Request log in order of time to (at, state) after each."""
+    breaker = Breaker(**settings)
+    for at, ok, latency in rows:
+        yield at, breaker.step(at, ok, latency)
 
 
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
