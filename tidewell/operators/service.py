@@ -157,15 +157,13 @@ def merge_doc_counts(before: DataFrame, counted: DataFrame) -> DataFrame:
     return before.select("tenant_id", F.col("doc_count").alias("old")).join(counted, "tenant_id", "full").select("tenant_id", F.coalesce("doc_count", "old").alias("doc_count"))
 
 
-def cardinality(df: DataFrame) -> int:
-    """The planner's row count where statistics give one, else an exact count."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().rowCount()
-    return int(stats.get().toString()) if stats.isDefined() else df.count()
-
-
-def probe(rows: DataFrame, most: int) -> int:
-    """How many rows there are, most + 1 standing for more: no more than that many are read to the end."""
-    return rows.limit(most + 1).count()
+def cardinalities(tables: dict[str, DataFrame], most: int | None = None) -> DataFrame:
+    """name, n of several tables in one plan; with `most`, no more rows of a table are read than that."""
+    out = None
+    for name, rows in tables.items():
+        counted = (rows if most is None else rows.limit(most)).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
 
 
 # ---- evaluation runs

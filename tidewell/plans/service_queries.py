@@ -142,17 +142,15 @@ def doc_count_upsert(spark, sf):
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
 def table_cardinality(spark, sf):
-    return spark.createDataFrame([(name, P.cardinality(T.read(spark, sf, name))) for name in ("documents", "events", "embeddings")], "name string, n long")
+    return P.cardinalities({name: T.read(spark, sf, name) for name in ("documents", "events", "embeddings")})
 
 
 @query(f"WITH {DOCS}, c AS (SELECT language, count(*) AS n FROM docs WHERE price < 2000 GROUP BY language) SELECT language, least(n, 101) AS n, n > 100 AS too_large FROM c WHERE language IN ('de', 'en', 'es', 'fr')")
 def pushdown_probe(spark, sf):
     """Matching documents for each of four languages, counted up to one more than the bound of 100, which is the feature."""
-    rows = []
-    for language in ("de", "en", "es", "fr"):
-        n = P.probe(S.matching(T.documents(spark, sf), languages=(language,)).where(F.try_variant_get(F.try_parse_json("attributes"), "$.price", "double") < 2000), 100)
-        rows += [(language, n, n > 100)] * (n > 0)
-    return spark.createDataFrame(rows, "language string, n long, too_large boolean")
+    matching = {language: S.matching(T.documents(spark, sf), languages=(language,)).where(F.try_variant_get(F.try_parse_json("attributes"), "$.price", "double") < 2000) for language in ("de", "en", "es", "fr")}
+    counted = P.cardinalities(matching, 101).where("n > 0")
+    return counted.select(F.col("name").alias("language"), "n", (F.col("n") > 100).alias("too_large"))
 
 
 @query(f"WITH {REQUESTS} SELECT query_id, CAST(greatest(k, trunc(5000 * k / 50)) AS BIGINT) AS cap FROM (SELECT query_id, 10 + query_id // 100 % 190 AS k FROM rq)")
