@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import beside, connected_components, discard, materialize, release, salts, table
+from .common import beside, connected_components, discard, release, salts, table
+from .common import materialize as _materialize
 
 WORDS_PER_SHINGLE, PERCENT = 5, 80
 BLOCK = 64
@@ -44,6 +45,14 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written; then the driver gives back what it held of its plan and tasks. A join writes some twenty tables,
+    and a driver of a gigabyte would else fill with them before it collects its garbage by itself."""
+    out = _materialize(df, name)
+    release(df.sparkSession)
+    return out
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M1
     h = (h ^ (h >> np.uint64(27))) * _M2
