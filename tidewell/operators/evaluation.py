@@ -30,9 +30,10 @@ def dataset_stats(judgments: DataFrame) -> DataFrame:
     )
 
 
-def relevance(hits: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, recall, ndcg, mrr at k. judged: (query_id, doc_id); queries without judgments score 0 with no hits."""
-    total = judged.groupBy("query_id").agg(F.countDistinct("doc_id").alias("total"))
+def relevance(hits: DataFrame, judged: DataFrame, k: int = 10, totals: DataFrame | None = None) -> DataFrame:
+    """query_id, recall, ndcg, mrr at k of the queries that have judgments. judged: (query_id, doc_id), all of them, or
+    those among the hits together with totals (query_id, total)."""
+    total = judged.groupBy("query_id").agg(F.countDistinct("doc_id").alias("total")) if totals is None else totals
     good = hits.where(F.col("rank") <= k).join(judged.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
     gained = good.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("total", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))

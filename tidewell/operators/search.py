@@ -165,6 +165,8 @@ def vector_search(points: DataFrame, requests: DataFrame, docs: DataFrame | None
 
 #: Requests that a task holds at most, and points of a shard from which on another shard is worth it.
 REQUEST_ROWS, SHARD_ROWS = 4096, 20_000
+#: Requests that are scored at a time.
+REQUEST_BLOCK = 256
 
 
 def best_of_shards(offered: DataFrame, asked: DataFrame, most: int) -> DataFrame:
@@ -223,35 +225,38 @@ class Best:
                 for at in range(0, len(rows), 4096):
                     docs = ids[rows[at : at + 4096]]
                     starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-                    scores = np.maximum.reduceat(m[at : at + 4096] @ q.T, starts, axis=0)
-                    self._keep(width, docs[starts], scores)
+                    for part in range(0, len(q), REQUEST_BLOCK):
+                        scores = np.maximum.reduceat(m[at : at + 4096] @ q[part : part + REQUEST_BLOCK].T, starts, axis=0)
+                        self._keep((width, part), docs[starts], np.round((scores + 1) / 2, 6))
 
-    def _keep(self, width: int, docs: np.ndarray, scores: np.ndarray) -> None:
+    def _keep(self, key: tuple[int, int], docs: np.ndarray, scores: np.ndarray) -> None:
         """The `most` best of what is held and what is new; a document that a cut parted counts by its better half."""
-        scores = np.round((scores + 1) / 2, 6)
-        if width in self.held:
-            old, had = self.held[width]
-        else:
-            n = scores.shape[1]
-            old, had = np.zeros((0, n), np.int64), np.zeros((0, n))
-        docs = np.concatenate([old, np.broadcast_to(docs[:, None], scores.shape)])
-        scores = np.concatenate([had, scores])
+        docs = np.broadcast_to(docs[:, None], scores.shape)
+        if len(scores) > 4 * self.most:
+            # What is below the last of the best isn't sorted; ties with it stay. One more, as a document may be parted.
+            last = np.partition(scores, len(scores) - self.most - 1, axis=0)[len(scores) - self.most - 1]
+            rows = np.flatnonzero((scores >= last).any(axis=1))
+            docs, scores = docs[rows], np.where(scores[rows] >= last, scores[rows], -np.inf)
+        if key in self.held:
+            old, had = self.held[key]
+            docs, scores = np.concatenate([old, docs]), np.concatenate([had, scores])
         order = np.lexsort((-scores, docs), axis=0)
         docs, scores = np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
         scores[1:][docs[1:] == docs[:-1]] = -np.inf
         order = np.lexsort((docs, -scores), axis=0)[: self.most]
-        self.held[width] = np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
+        self.held[key] = np.take_along_axis(docs, order, 0), np.take_along_axis(scores, order, 0)
 
     def rows(self):
-        for width, (docs, scores) in self.held.items():
-            ids = np.broadcast_to(np.concatenate([a[0] for a in self.asked[width]])[None, :], docs.shape)
+        for (width, part), (docs, scores) in self.held.items():
+            ids = np.broadcast_to(np.concatenate([a[0] for a in self.asked[width]])[None, part : part + REQUEST_BLOCK], docs.shape)
             there = scores > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(docs[there]), pa.array(scores[there])], names=["query_id", "doc_id", "score"])
 
 
-def grid(offered: DataFrame, asked: DataFrame, side: int = 8) -> DataFrame:
+def grid(offered: DataFrame, asked: DataFrame, side: int | None = None) -> DataFrame:
     """Every asked row beside every offered row, as an equi-join over side * side cells, for a stated query set whose
-    pairs are themselves the result."""
+    pairs are themselves the result. The cells are some twice the session's partitions unless given."""
+    side = side or max(2, int((2 * int(offered.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
     left = offered.withColumn("_x", F.pmod(F.hash("doc_id"), F.lit(side))).withColumn("_y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     right = asked.withColumn("_y", F.pmod(F.hash("query_id"), F.lit(side))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     return left.join(right, ["_x", "_y"]).drop("_x", "_y")

@@ -184,15 +184,30 @@ g AS (SELECT query_id, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, min(ra
 sc AS (SELECT query_id, round(coalesce(found / total, 0), 6) AS recall, round(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(total, 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr FROM tot LEFT JOIN g USING (query_id))"""
 
 
-def judged(spark, sf):
+def good_documents(spark, sf):
     good = T.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    docs = T.documents(spark, sf).select("doc_id", "tenant_id").join(good, "doc_id", "left_semi")
-    return docs.join(S.small(T.requests(spark, sf).select("query_id", "tenant_id")), "tenant_id").select("query_id", "doc_id")
+    return T.documents(spark, sf).select("doc_id", "tenant_id").join(good, "doc_id", "left_semi")
+
+
+def judged_totals(spark, sf):
+    """query_id, total: how many documents are relevant, counted by tenant."""
+    per = good_documents(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("total"))
+    return T.requests(spark, sf).select("query_id", "tenant_id").join(per, "tenant_id").select("query_id", "total")
+
+
+def judged_hits(spark, sf, *channels):
+    """The relevant ones among the channels' hits: only what was retrieved is looked up, not a tenant's every document."""
+    hits = None
+    for c in channels:
+        hits = c.select("query_id", "doc_id") if hits is None else hits.unionByName(c.select("query_id", "doc_id"))
+    asked = hits.distinct().join(S.small(T.requests(spark, sf).select("query_id", "tenant_id")), "query_id")
+    return asked.join(good_documents(spark, sf), ["doc_id", "tenant_id"], "left_semi").select("query_id", "doc_id")
 
 
 def scores(spark, sf):
     _, _, lex, vec = channels(spark, sf)
-    return V.relevance(S.rrf(lex, vec), judged(spark, sf))
+    fused = S.rrf(lex, vec)
+    return V.relevance(fused, judged_hits(spark, sf, lex, vec), totals=judged_totals(spark, sf))
 
 
 for _metric in ("recall", "ndcg", "mrr"):
@@ -207,7 +222,7 @@ def worst_queries(spark, sf):
 @query(f"""WITH {_CHAIN}, {_JUDGED}, j AS (SELECT query_id, rq.tenant_id, count(*) AS n FROM judged JOIN rq USING (query_id) GROUP BY ALL), l AS (SELECT j.*, d.language FROM j JOIN docs d ON d.doc_id = j.query_id)
 SELECT count(*) AS queries, CAST(sum(n) AS BIGINT) AS relevant, round(avg(n), 6) AS avg_relevant, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages, count(DISTINCT tenant_id) AS tenants FROM l""")
 def dataset_stats(spark, sf):
-    counted = judged(spark, sf).groupBy("query_id").agg(F.countDistinct("doc_id").alias("n"))
+    counted = judged_totals(spark, sf).withColumnRenamed("total", "n")
     named = T.documents(spark, sf).select(F.col("doc_id").alias("query_id"), "tenant_id", "language")
     return V.dataset_stats(counted.join(named, "query_id"))
 

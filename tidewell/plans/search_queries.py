@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import stats, text, vectors
@@ -32,7 +33,9 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
   (SELECT query_id, doc_id, round(0.7 * coalesce(token_rank, 0) + 0.3 * coalesce(similarity, 0), 6) AS score FROM tm FULL JOIN tg USING (query_id, doc_id))) WHERE rank <= 50)"""
 _VEC = """
 vs AS (SELECT query_id, doc_id, round((max(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(query_vector AS DOUBLE[]))) + 1) / 2, 6) AS score FROM points, rq WHERE query_vector IS NOT NULL GROUP BY ALL),
-vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vs WHERE doc_id IN (SELECT doc_id FROM docs WHERE deleted_at IS NULL)) WHERE rank <= 50)"""
+md AS (SELECT model_name, row_number() OVER (ORDER BY count(*) DESC, model_name) = 1 AS is_default FROM points GROUP BY model_name),
+vm AS (SELECT query_id, doc_id, round((max(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(query_vector AS DOUBLE[]))) + 1) / 2, 6) AS score FROM points JOIN md USING (model_name), rq WHERE is_default AND query_vector IS NOT NULL GROUP BY ALL),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM vm WHERE doc_id IN (SELECT doc_id FROM docs WHERE deleted_at IS NULL)) WHERE rank <= 50)"""
 _RRF = """
 rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lexical_rank NULLS LAST, vector_rank NULLS LAST, doc_id) AS rank FROM
   (SELECT query_id, doc_id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0), 9) AS score, l.rank AS lexical_rank, v.rank AS vector_rank FROM lex l FULL JOIN vec v USING (query_id, doc_id)))"""
@@ -40,10 +43,22 @@ _DOC_VECTORS = "dv AS (SELECT doc_id, min_by(vector, chunk_idx) AS vector FROM p
 _CHAIN = f"{_ALL}, {_LEX}, {_VEC}, {_RRF}, {_DOC_VECTORS}"
 
 
+def models(spark, sf):
+    """The models of the points; the one with most is the default and the only active one."""
+    counted = T.points(spark, sf).groupBy("model_name").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "model_name"))  # a row a model
+    return counted.select("model_name", (place == 1).alias("is_default")).withColumn("is_active", F.col("is_default"))
+
+
+def active_vectors(spark, sf):
+    """The vector channel: points of active models and live documents."""
+    return S.vector_search(T.points(spark, sf), T.requests(spark, sf), T.documents(spark, sf), models=models(spark, sf))
+
+
 def channels(spark, sf):
     """Both channels, written once: fusion, reranking and assembly read them again."""
     docs, requests = T.documents(spark, sf), T.requests(spark, sf)
-    return docs, requests, stored(S.lexical_search(docs, requests)), stored(S.vector_search(T.points(spark, sf), requests, docs))
+    return docs, requests, stored(S.lexical_search(docs, requests)), stored(active_vectors(spark, sf))
 
 
 def doc_vectors(spark, sf):
@@ -158,7 +173,7 @@ def lexical_topk(spark, sf):
 # ---- vector
 @query(f"WITH {_CHAIN} SELECT query_id, doc_id, score, rank FROM vec")
 def cosine_topk(spark, sf):
-    return S.vector_search(T.points(spark, sf), T.requests(spark, sf), T.documents(spark, sf))
+    return active_vectors(spark, sf)
 
 
 @query(f"WITH {_CHAIN} SELECT query_id, doc_id, score FROM vs")
@@ -278,8 +293,7 @@ def mmr(spark, sf):
 n AS (SELECT a.query_id, a.doc_id, max(list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[]))) AS c FROM h a JOIN h b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id GROUP BY ALL)
 SELECT query_id, round(avg(1 - coalesce(c, 0)), 6) AS diversity FROM h LEFT JOIN n USING (query_id, doc_id) GROUP BY query_id""")
 def diversity_score(spark, sf):
-    docs, requests = T.documents(spark, sf), T.requests(spark, sf)
-    return S.diversity_scores(S.vector_search(T.points(spark, sf), requests, docs), doc_vectors(spark, sf))
+    return S.diversity_scores(active_vectors(spark, sf), doc_vectors(spark, sf))
 
 
 @query(f"""WITH {REQUESTS}, s AS (SELECT source AS tenant_id, count(*) AS doc_count FROM documents GROUP BY source),

@@ -14,20 +14,13 @@ from tidewell.sources.scratch import folder
 from tidewell.sources.tables import DOCS, EVENTS, OUTBOX, POINTS, REQUESTS, TOKEN
 from tidewell.streaming import jobs
 
-from .index_queries import _HASH, _JUDGED, _SCORES, NOW, judged
+from .index_queries import _HASH, _JUDGED, _SCORES, NOW, judged_hits, judged_totals
 from .registry import query
-from .search_queries import _CAND, _CHAIN, _DOC_VECTORS, _WEIGHTED, _overlap, channels
+from .search_queries import _CAND, _CHAIN, _DOC_VECTORS, _WEIGHTED, _overlap, channels, models
 
 MODELS = "md AS (SELECT model_name, row_number() OVER (ORDER BY count(*) DESC, model_name) = 1 AS is_default FROM points GROUP BY model_name)"
 
 
-def models(spark, sf):
-    """The models of the points; the one with most is the default and the only active one."""
-    counted = T.points(spark, sf).groupBy("model_name").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.desc("n"), "model_name"))  # a row a model
-    return counted.select("model_name", (place == 1).alias("is_default")).withColumn("is_active", F.col("is_default"))
-
-
 @query(f"WITH {POINTS}, {MODELS} SELECT model_name FROM md WHERE is_default")
 def default_model(spark, sf):
     return P.default_model(models(spark, sf))
@@ -188,11 +181,11 @@ wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 def nightly_eval(spark, sf):
     """Three strategies in one job: means for each."""
     docs, requests, lex, vec = channels(spark, sf)
-    truth, mixed = judged(spark, sf), S.weighted(lex, vec)
+    truth, totals, mixed = judged_hits(spark, sf, lex, vec), judged_totals(spark, sf), S.weighted(lex, vec)
     reranked = S.apply_rerank(mixed, S.overlap_scores(S.rerank_candidates(lex, vec), requests, docs), 50)
     every = None
     for name, hits in (("rrf", S.rrf(lex, vec)), ("weighted", mixed), ("weighted+rerank", reranked)):
-        one = evaluation.relevance(hits, truth).withColumn("strategy", F.lit(name))
+        one = evaluation.relevance(hits, truth, totals=totals).withColumn("strategy", F.lit(name))
         every = one if every is None else every.unionByName(one)
     return evaluation.summary(every, "strategy")
 
