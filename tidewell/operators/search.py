@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.functions import vectors as V
+from tidewell.sources.scratch import stored
 
 SNIPPET, MATCH_SIMILARITY, RANK_WEIGHT, SIMILARITY_WEIGHT = 200, 0.3, 0.7, 0.3
 MOST_K, RRF_K, RERANK_K = 200, 60, 50
@@ -119,7 +120,8 @@ def trigram_scores(docs: DataFrame, requests: DataFrame, above: float = MATCH_SI
 
 def lexical_search(docs: DataFrame, requests: DataFrame, k: Column | int = 50) -> DataFrame:
     """query_id, doc_id, score, rank, title, snippet: token or trigram matches by the blend of both scores."""
-    docs = live(docs)
+    # Written once: requests may be cut from large texts, and several steps count and join them.
+    docs, requests = live(docs), stored(requests.select("query_id", "tenant_id", "query"))
     both = token_matches(docs, requests).join(trigram_scores(docs, requests), ["query_id", "doc_id"], "full")
     score = F.round(RANK_WEIGHT * F.coalesce("token_rank", F.lit(0.0)) + SIMILARITY_WEIGHT * F.coalesce("similarity", F.lit(0.0)), 6)
     top = ranked(both.select("query_id", "doc_id", score.alias("score")), k, F.desc("score"), F.col("doc_id"))
@@ -150,7 +152,8 @@ def vector_search(points: DataFrame, requests: DataFrame, docs: DataFrame | None
     meet shards of documents, each shard giving its MOST_K best a request for the final ranking. Zero vectors score as
     a cosine of 0; points with null or non-finite components and those of another length than the request are left out.
     """
-    asked = requests.where("query_vector is not null").select("query_id", "query_vector")
+    asked = stored(requests.where("query_vector is not null").select("query_id", "query_vector"))
+    rows = points.count()  # what filters leave is fewer; shards are sized by this
     offered = points.where(V.finite(F.col("vector")))
     if models is not None:
         offered = offered.join(small(models.where("is_active").select("model_name")), "model_name", "left_semi")
@@ -159,7 +162,7 @@ def vector_search(points: DataFrame, requests: DataFrame, docs: DataFrame | None
         offered = offered.join(pushdown_ids.select("doc_id"), "doc_id", "left_semi")
     if docs is not None:
         offered = offered.join(live(docs).select("doc_id"), "doc_id", "left_semi")
-    scored = best_of_shards(offered, asked, MOST_K)
+    scored = best_of_shards(offered, asked, MOST_K, rows)
     return ranked(scored, k, F.desc("score"), F.col("doc_id"))
 
 
@@ -169,13 +172,14 @@ REQUEST_ROWS, SHARD_ROWS = 4096, 20_000
 REQUEST_BLOCK = 256
 
 
-def best_of_shards(offered: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+def best_of_shards(offered: DataFrame, asked: DataFrame, most: int, rows: int) -> DataFrame:
     """query_id, doc_id, score: of each shard of documents the `most` best for each request. All chunks of a document
-    are in one shard. A point is copied once for every REQUEST_ROWS requests, a request once for every shard."""
+    are in one shard. A point is copied once for every REQUEST_ROWS requests, a request once for every shard. rows: how
+    many points there are at most."""
     spark = offered.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, -(-asked.count() // REQUEST_ROWS))
-    shards = max(1, min(-(-tasks // parts), -(-offered.count() // SHARD_ROWS)))
+    shards = max(1, min(-(-tasks // parts), -(-rows // SHARD_ROWS)))
     vector = lambda c: F.transform(c, lambda x: x.cast("double"))
     left = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("role"), F.col("query_id").alias("id"), vector("query_vector").alias("v"))
     right = offered.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("role"), F.col("doc_id").alias("id"), vector("vector").alias("v"))
