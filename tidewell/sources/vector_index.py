@@ -33,6 +33,8 @@ PROBES, SPARE = 4, 4
 TRIALS, NEIGHBOURS, REACH = 64, 50, 0.985
 #: Folders of the points, and rows from which on a list's points are scored by several tasks.
 BUCKETS, CELL_ROWS = 32, 50_000
+#: Candidates that a task gathers over its lists before it hands some on.
+HELD_ROWS = 1_000_000
 
 _POINTS = "point_id long, doc_id long, model_name string, list int, code binary, vector array<float>, bucket int"
 
@@ -137,7 +139,8 @@ class VectorIndex:
     def candidates(self, points: DataFrame, probed: DataFrame, most: int) -> DataFrame:
         """query_id, point_id: of the probed lists the `most` best codes of each request.
 
-        A list is dealt to cells by point, so that a large one is scored by several tasks; each cell hands on its best."""
+        A list is dealt to cells by point, so that a large one is scored by several tasks; each task hands on its best over
+        all its cells, so what meets grows with the requests and not with the lists that they probe."""
         sizes = points.groupBy("list").agg(F.count("*").alias("n")).select("list", F.least(F.expr(f"n div {CELL_ROWS} + 1"), F.lit(4096)).alias("cells"))
         some = probed.select("list").distinct()
         sizes = stored(sizes.join(S.small(some), "list", "left_semi"))  # a row a list
@@ -146,14 +149,29 @@ class VectorIndex:
         dealt = left.unionByName(right).repartition("list", "cell").sortWithinPartitions("list", "cell", "role", "id")
 
         def run(batches):
-            key, ids, q, found = None, None, None, []
+            key, ids, q, found, held = None, None, None, [], []
 
             def best():
                 if not found:
                     return
                 points_, scores = np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found], axis=1)
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(points_[top].reshape(-1)), pa.array(np.take_along_axis(scores, top, 1).reshape(-1).astype(np.float64))], names=["query_id", "point_id", "near"])
+                held.append((np.repeat(ids, top.shape[1]), points_[top].reshape(-1), np.take_along_axis(scores, top, 1).reshape(-1).astype(np.float64)))
+                if sum(len(h[0]) for h in held) >= HELD_ROWS:
+                    held[:] = [merged()]
+                    if len(held[0][0]) >= HELD_ROWS // 2:
+                        yield batch_of(held.pop())
+
+            def merged():
+                """The `most` best of each request over the lists that this task has seen."""
+                ids_, points_, near_ = (np.concatenate(c) for c in zip(*held))
+                order = np.lexsort((points_, -near_, ids_))
+                new = np.flatnonzero(np.r_[True, np.diff(ids_[order]) != 0])
+                place = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
+                return tuple(c[order[place < most]] for c in (ids_, points_, near_))
+
+            def batch_of(columns):
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "point_id", "near"])
 
             for batch in batches:
                 lists, cells, roles = (batch.column(i).to_numpy() for i in range(3))
@@ -176,6 +194,8 @@ class VectorIndex:
                             scores, numbers = scores[:, kept], numbers[kept]
                         found.append((numbers, scores))
             yield from best()
+            if held:
+                yield batch_of(merged())
 
         near = dealt.mapInArrow(run, "query_id long, point_id long, near double")
         from pyspark.sql import Window
