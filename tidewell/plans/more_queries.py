@@ -14,7 +14,7 @@ from tidewell.sources.tables import DOCS, EVENTS
 
 from .event_queries import _EV, _STARTS, experiments, log
 from .registry import query
-from .search_queries import _CHAIN, channels
+from .search_queries import _EVERY, channels, every_vectors
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS event_date FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08'")
@@ -74,17 +74,17 @@ _BOOST = """cl AS (SELECT user_id, category, count(*) AS c FROM ev JOIN docs ON
 hb AS (SELECT query_id, rrf.doc_id, round(rrf.score * (1 + 0.1 * coalesce(share, 0)), 9) AS score FROM rrf JOIN docs USING (doc_id) LEFT JOIN sh ON sh.user_id = query_id % 150 AND sh.category = docs.category)"""
 
 
-@query(f"WITH {_CHAIN}, {EVENTS}, {_BOOST} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hb")
+@query(f"WITH {_EVERY}, {EVENTS}, {_BOOST} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hb")
 def history_boost(spark, sf):
-    docs, requests, lex, vec = channels(spark, sf)
+    docs, requests, lex, vec = channels(spark, sf, every_vectors)
     clicks = T.events(spark, sf).where("kind = 'click'")
     return extras.history_boost(S.rrf(lex, vec), docs, clicks, requests.withColumn("user_id", F.col("query_id") % 150))
 
 
-@query(f"""WITH {_CHAIN} SELECT query_id, doc_id, coalesce(l.score, 0) AS lexical_score, coalesce(l.rank, 0) AS lexical_rank, coalesce(v.score, 0) AS vector_score, coalesce(v.rank, 0) AS vector_rank, len(content) AS length, len(tags) AS n_tags
+@query(f"""WITH {_EVERY} SELECT query_id, doc_id, coalesce(l.score, 0) AS lexical_score, coalesce(l.rank, 0) AS lexical_rank, coalesce(v.score, 0) AS vector_score, coalesce(v.rank, 0) AS vector_rank, len(content) AS length, len(tags) AS n_tags
 FROM lex l FULL JOIN vec v USING (query_id, doc_id) JOIN docs USING (doc_id)""")
 def rank_features(spark, sf):
-    docs, _, lex, vec = channels(spark, sf)
+    docs, _, lex, vec = channels(spark, sf, every_vectors)
     return extras.rank_features(lex, vec, docs)
 
 

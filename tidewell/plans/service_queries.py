@@ -16,7 +16,7 @@ from tidewell.streaming import jobs
 
 from .index_queries import _HASH, _JUDGED, _SCORES, NOW, judged_hits, judged_totals
 from .registry import query
-from .search_queries import _CAND, _CHAIN, _DOC_VECTORS, _WEIGHTED, _overlap, channels, models
+from .search_queries import _CAND, _CHAIN, _DOC_VECTORS, _EVERY, _WEIGHTED, _overlap, channels, every_vectors, models
 
 MODELS = "md AS (SELECT model_name, row_number() OVER (ORDER BY count(*) DESC, model_name) = 1 AS is_default FROM points GROUP BY model_name)"
 
@@ -175,12 +175,12 @@ def _means(strategy: str, hits: str) -> str:
   FROM tot LEFT JOIN (SELECT query_id, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM {hits} SEMI JOIN judged USING (query_id, doc_id) WHERE rank <= 10 GROUP BY query_id) USING (query_id))"""
 
 
-@query(f"""WITH {_CHAIN}, {_CAND}, {_WEIGHTED}, {_JUDGED}, tot AS (SELECT query_id, count(*) AS total FROM judged GROUP BY query_id), ov AS ({_overlap('cand')}),
+@query(f"""WITH {_EVERY}, {_CAND}, {_WEIGHTED}, {_JUDGED}, tot AS (SELECT query_id, count(*) AS total FROM judged GROUP BY query_id), ov AS ({_overlap('cand')}),
 wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM wf), wm AS (SELECT wr.query_id, wr.doc_id, row_number() OVER (PARTITION BY wr.query_id ORDER BY rerank_score IS NULL, rerank_score DESC, wr.score DESC, wr.doc_id) AS rank FROM wr LEFT JOIN ov USING (query_id, doc_id))
 {_means('rrf', 'rrf')} UNION ALL {_means('weighted', 'wr')} UNION ALL {_means('weighted+rerank', 'wm')}""")
 def nightly_eval(spark, sf):
     """Three strategies in one job: means for each."""
-    docs, requests, lex, vec = channels(spark, sf)
+    docs, requests, lex, vec = channels(spark, sf, every_vectors)
     truth, totals, mixed = judged_hits(spark, sf, lex, vec), judged_totals(spark, sf), S.weighted(lex, vec)
     reranked = S.apply_rerank(mixed, S.overlap_scores(S.rerank_candidates(lex, vec), requests, docs), 50)
     every = None
