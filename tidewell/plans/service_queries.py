@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import vectors
 from tidewell.operators import evaluation, extras
 from tidewell.operators import indexing as I
 from tidewell.operators import search as S
@@ -69,7 +70,7 @@ _UNIT = "list_transform({v}, lambda x: round(CASE WHEN list_inner_product({v}, {
 @query(f"WITH {DOCS}, e AS (SELECT doc_id, {_EMB.replace('lower(text)', 'lower(content)')} AS v FROM docs) SELECT doc_id, {_UNIT.format(v='v')} AS vector FROM e")
 def embed_texts(spark, sf):
     rows = P.embed_texts(T.documents(spark, sf).select("doc_id", F.col("content").alias("text")))
-    return rows.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return rows.select("doc_id", vectors.rounded(F.col("vector")).alias("vector"))
 
 
 _CACHED = f"""k AS (SELECT 'hash:' || {_HASH} || ':m0' AS key, min(content) AS text, bool_or(language = 'fr' AND created_at > TIMESTAMP '{NOW}') AS held, bool_or(language = 'de') AS barred FROM docs GROUP BY 1), e AS (SELECT *, {_EMB} AS v FROM k),
@@ -320,7 +321,7 @@ def rolling_errors(spark, sf):
 
 @query(f"WITH {POINTS}, s AS (SELECT doc_id, list(vector ORDER BY chunk_idx) AS v, list(greatest(1.0, 3.0 - chunk_idx) ORDER BY chunk_idx) AS w FROM points GROUP BY doc_id), a AS (SELECT doc_id, list_transform(range(1, len(v[1]) + 1), lambda i: list_sum(list_transform(range(1, len(v) + 1), lambda j: CAST(v[j][i] AS DOUBLE) * CAST(w[j] AS DOUBLE))) / list_sum(list_transform(w, lambda x: CAST(x AS DOUBLE)))) AS v FROM s) SELECT doc_id, {_UNIT.format(v='v')} AS vector FROM a")
 def section_vectors(spark, sf):
-    return I.section_vectors(T.points(spark, sf)).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return I.section_vectors(T.points(spark, sf)).select("doc_id", vectors.rounded(F.col("vector")).alias("vector"))
 
 
 # ---- streams
