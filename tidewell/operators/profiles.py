@@ -26,7 +26,7 @@ def moved(state, n: int, vector, fast: float, slow: float, warm: int):
         return v
     a = fast if n < warm else slow
     state = (1 - a) * state + a * v
-    length = np.linalg.norm(state)
+    length = np.sqrt(np.cumsum(state * state)[-1]) if len(state) else 0.0  # summed in order, whatever the machine
     return state / length if length > 0 else state
 
 

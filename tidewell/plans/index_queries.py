@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import stats
+from tidewell.functions import stats, vectors
 from tidewell.operators import evaluation as V
 from tidewell.operators import indexing as I
 from tidewell.operators import profiles as P
@@ -261,7 +261,7 @@ l AS (SELECT k, max_by(s, i) AS s, count(*) AS n FROM r GROUP BY k) SELECT {name
 @query(_ema("user_id", "(CASE WHEN cl.i < 10 THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END)", "k AS user_id"))
 def ema_profiles(spark, sf):
     clicks = T.events(spark, sf).where("kind = 'click'")
-    return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id"]).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+    return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id"]).withColumn("vector", vectors.rounded(F.col("vector")))
 
 
 _TIME = "'time:' || CASE WHEN hour(created_at) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(created_at) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(created_at) >= 18 THEN 'evening' ELSE 'night' END"
@@ -270,7 +270,7 @@ _TIME = "'time:' || CASE WHEN hour(created_at) BETWEEN 6 AND 11 THEN 'morning' W
 @query(_ema(f"{{'u': user_id, 'c': {_TIME}}}", "0.1::DOUBLE", "k.u AS user_id, k.c AS context_key"))
 def context_profiles(spark, sf):
     clicks = T.events(spark, sf).where("kind = 'click'").withColumn("context_key", P.context_key(F.lit(None).cast("string"), P.time_of_day(F.col("created_at")), F.lit("web")))
-    return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id", "context_key"], fast=0.1, slow=0.1).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+    return P.profile_updates(clicks, doc_vectors(spark, sf), ["user_id", "context_key"], fast=0.1, slow=0.1).withColumn("vector", vectors.rounded(F.col("vector")))
 
 
 @query(f"WITH {EVENTS} SELECT event_id, 'time:' || CASE WHEN hour(created_at) BETWEEN 6 AND 11 THEN 'morning' WHEN hour(created_at) BETWEEN 12 AND 17 THEN 'afternoon' WHEN hour(created_at) >= 18 THEN 'evening' ELSE 'night' END AS context_key FROM ev")
@@ -322,4 +322,4 @@ def stream_retries(spark, sf):
 @query()
 def stream_profiles(spark, sf):
     """Profiles carried on click by click: the same as of all clicks at once."""
-    return jobs.profiles(spark, sf, doc_vectors(spark, sf)).withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
+    return jobs.profiles(spark, sf, doc_vectors(spark, sf)).withColumn("vector", vectors.rounded(F.col("vector")))
