@@ -4,9 +4,11 @@ Lists are the cells of a k-means over a bounded sample of the unit vectors; ever
 centre. Its code has a byte a component. A search probes the lists nearest to each request, ranks their codes, and works
 out exact cosines for the best of them. How many lists that takes depends on how the data cluster, so it is measured when
 the index is built: exact neighbours of some of its vectors, and in which of their nearest lists those lie. Under
-FULL_SCAN vectors a search compares all instead, and is exact.
+FULL_SCAN vectors a search compares all instead, and is exact. An exact search goes on from there: what was found bounds
+the hits from below, a list's centre and widest angle bound its vectors from above, and lists that may hold more are compared whole.
 
-Folders: centers (list, center), points by bucket of lists (point_id, doc_id, model_name, list, code, vector), probes.
+Folders: centers (list, center), points by bucket of lists (point_id, doc_id, model_name, list, close: its
+cosine with the centre, code, vector), probes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ BUCKETS, CELL_ROWS = 32, 50_000
 #: Candidates that a task gathers over its lists before it hands some on.
 HELD_ROWS = 1_000_000
 
-_POINTS = "point_id long, doc_id long, model_name string, list int, code binary, vector array<float>, bucket int"
+_POINTS = "point_id long, doc_id long, model_name string, list int, close float, code binary, vector array<float>, bucket int"
 
 
 def _rows(column: pa.Array, width: int) -> np.ndarray:
@@ -106,12 +108,13 @@ class VectorIndex:
             for batch in batches:
                 v = _units(_rows(batch.column(3), width))
                 at = np.concatenate([(v[i : i + 2048] @ centers.T).argmax(axis=1) for i in range(0, len(v), 2048)] or [np.zeros(0, int)])
+                close = (v * centers[at]).sum(axis=1)
                 codes = np.clip(np.rint(v * 127 / np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-30)), -127, 127).astype(np.int8)
-                columns = [*batch.columns[:3], pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["point_id", "doc_id", "model_name", "list", "code", "vector"])
+                columns = [*batch.columns[:3], pa.array(at, pa.int32()), pa.array(close, pa.float32()), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=["point_id", "doc_id", "model_name", "list", "close", "code", "vector"])
 
         rows = points.select(F.col("point_id").cast("long"), F.col("doc_id").cast("long"), F.col("model_name").cast("string"), F.col("vector").cast("array<float>").alias("vector"))
-        placed = rows.mapInArrow(place, "point_id long, doc_id long, model_name string, list int, code binary, vector array<float>")
+        placed = rows.mapInArrow(place, "point_id long, doc_id long, model_name string, list int, close float, code binary, vector array<float>")
         # By id within a bucket too, so a list with a third of all points doesn't make one file.
         spread = placed.withColumn("bucket", F.pmod("list", F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("point_id"), F.lit(8)))
         spread.sortWithinPartitions("bucket", "list", "point_id").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/points")
@@ -203,10 +206,10 @@ class VectorIndex:
         w = Window.partitionBy("query_id").orderBy(F.desc("near"), "point_id")
         return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("query_id", "point_id")
 
-    def search(self, requests: DataFrame, k: int = 50, probes: int | None = None, docs: DataFrame | None = None, models: DataFrame | None = None, full_scan: int = FULL_SCAN) -> DataFrame:
+    def search(self, requests: DataFrame, k: int = 50, probes: int | None = None, docs: DataFrame | None = None, models: DataFrame | None = None, full_scan: int = FULL_SCAN, exact: bool = False) -> DataFrame:
         """query_id, doc_id, score, rank as search.vector_search has it: the best chunk of a document, cosines scaled to
-        0..1. Filters on documents and models apply before lists are ranked. Approximate from full_scan points on; probes
-        are those that were measured unless given."""
+        0..1. Filters on documents and models apply before lists are ranked. Approximate from full_scan points on unless
+        exact; probes are those that were measured unless given."""
         points = self.points()
         if points.limit(full_scan + 1).count() <= full_scan:
             return S.vector_search(points, requests, docs, k, models=models)
@@ -221,7 +224,41 @@ class VectorIndex:
         first = self.candidates(points, stored(self.probes(asked, probes)), SPARE * k)
         met = points.select("point_id", "doc_id", "vector").join(first, "point_id").join(S.small(asked), "query_id")
         scored = met.groupBy("query_id", "doc_id").agg(F.max(V.cosine(F.col("vector"), F.col("query_vector"))).alias("c"))
-        return S.ranked(scored.select("query_id", "doc_id", F.round((F.col("c") + 1) / 2, 6).alias("score")), k, F.desc("score"), F.col("doc_id"))
+        top = S.ranked(scored.select("query_id", "doc_id", F.round((F.col("c") + 1) / 2, 6).alias("score")), k, F.desc("score"), F.col("doc_id"))
+        return self._completed(points, asked, top, k) if exact else top
+
+    def _completed(self, points: DataFrame, asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+        """The exact hits, given what was found: each request meets the lists that may hold a hit no worse than its k-th."""
+        lists = stored(points.groupBy("list").agg(F.min("close").alias("close"), (F.count("*") / CELL_ROWS).cast("int").alias("more")))
+        reach = {r.list: r.close for r in lists.collect()}  # MOST_LISTS at most
+        centers = self.centers().astype(np.float64)
+        ids = np.array(sorted(reach), np.int32)
+        width, wide = centers.shape[1], np.arccos(np.clip([reach[i] for i in ids], -1, 1))
+        kth = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        usable = self._usable(asked.withColumnRenamed("query_vector", "vector"), width).select("query_id", F.col("vector").cast("array<double>").alias("v"))
+        floored = usable.join(S.small(kth), "query_id", "left").select("query_id", "v", F.coalesce("floor", F.lit(-1.0)).alias("floor"))
+
+        def open_lists(batches):
+            for batch in batches:
+                q = np.asarray(batch.column(1).flatten()).reshape(len(batch), width)
+                angle = np.arccos(np.clip(_units(q) @ centers[ids].T, -1, 1))
+                most = (np.cos(np.maximum(angle - wide, 0)) + 1) / 2 + 1e-3  # float32 angles near 0 are off by that much at most
+                row, at = np.nonzero(most >= np.asarray(batch.column(2))[:, None])
+                rows = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids[at], pa.int32())], names=["query_id", "v", "floor", "list"])
+
+        pairs = floored.mapInArrow(open_lists, "query_id long, v array<double>, floor double, list int")
+        dealt = self._dealt(points, pairs, F.broadcast(lists))
+        best = S.best_of_cells(dealt, k).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        return S.ranked(best, k, F.desc("score"), F.col("doc_id"))
+
+    @staticmethod
+    def _dealt(points: DataFrame, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """Requests and points by list and cell, as search.best_of_cells takes them; all chunks of a document that are in
+        one list are in one cell."""
+        left = pairs.join(lists.select("list", "more"), "list").select(F.col("list").alias("part"), F.explode(F.sequence(F.lit(0), F.col("more"))).alias("shard"), F.lit(0).alias("role"), F.col("query_id").alias("id"), "v", "floor")
+        right = points.join(lists.select("list", "more"), "list").select(F.col("list").alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("more") + 1).cast("int").alias("shard"), F.lit(1).alias("role"), F.col("doc_id").alias("id"), F.col("vector").cast("array<double>").alias("v"), F.lit(0.0).alias("floor"))
+        return left.unionByName(right).repartition("part", "shard").sortWithinPartitions("part", "shard", "role", "id")
 
 
 def recall(got: DataFrame, exact: DataFrame) -> DataFrame:
