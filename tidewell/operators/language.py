@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -25,6 +25,8 @@ CONFIDENCE, DEFAULT = 0.7, "en"
 SHARPNESS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 #: Words whose scores a task remembers.
 REMEMBERED = 200_000
+#: Words that are looked up at a time.
+SLICE = 200_000
 
 
 def grams_of(word: Column) -> Column:
@@ -56,12 +58,24 @@ class LanguageModel:
 
     def sums(self, text: Column) -> Column:
         """array<double>: a text's sums by language, and the number of known trigrams."""
-        model = self
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def run(words: pd.Series) -> pd.Series:
-            zero = np.zeros(len(model.languages) + 1)
-            return words.map(lambda ws: zero if ws is None or not len(ws) else np.sum([model.word(w) for w in ws], axis=0))
+        model, width = self, len(self.languages) + 1
+
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def run(words: pa.Array) -> pa.Array:
+            ends = np.cumsum(np.asarray(words.value_lengths().fill_null(0)))
+            out, row = np.zeros((len(words), width)), 0
+            while row < len(words):  # some texts at a time, so that what is held doesn't grow with the batch
+                last = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE, "right")))
+                part = words.slice(row, last - row)
+                coded = part.flatten().dictionary_encode()
+                sums = np.array([model.word(w) for w in coded.dictionary.to_pylist()]).reshape(-1, width)
+                sizes = np.asarray(part.value_lengths().fill_null(0))
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    starts = np.cumsum(sizes) - sizes
+                    out[row + some] = np.add.reduceat(sums[np.asarray(coded.indices)], starts[some], axis=0)
+                row = last
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * width), pa.array(out.reshape(-1)))
 
         return run(X.tokens(text))
 
