@@ -50,8 +50,9 @@ class DocumentStore:
         return self._table("points", _POINTS)
 
     def _replace(self, rows: DataFrame, name: str, by: str) -> None:
-        """Only the partitions that rows has are replaced."""
-        rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+        """Only the partitions that rows has are replaced, when the job commits; rows may be read from them. Rows should lie
+        together by partition, else every task writes a file for each."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
 
     def _buckets(self, table: DataFrame, rows: DataFrame) -> DataFrame:
         """The table's buckets that rows touches; as many numbers at most come to the driver."""
@@ -60,16 +61,22 @@ class DocumentStore:
 
     # ---- merging
 
-    def _latest(self, incoming: DataFrame) -> DataFrame:
-        """One row a key: the one updated last, of those alike the one with the largest hash. Rows without a key go."""
-        w = Window.partitionBy(*KEYS).orderBy(F.desc("updated_at"), F.desc("content_hash"))
-        hashed = incoming.where("tenant_id is not null and external_ref is not null").withColumn("content_hash", indexing.content_hash(F.col("title"), F.col("content")))
-        return hashed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("bucket", self._bucket())
+    #: The order of a key's rows in a load: the one updated last, of those alike the one with the largest hash. The others
+    #: only make the choice the same wherever it is made.
+    _ORDER = ("updated_at", "content_hash", "extra", "deleted_at")
+
+    def _load(self, incoming: DataFrame) -> DataFrame:
+        """The load's rows with hash and bucket. Rows without a key go."""
+        rows = incoming.select(*KEYS, "title", "content", "attributes", "updated_at", "deleted_at").where("tenant_id is not null and external_ref is not null")
+        hashed = rows.withColumn("content_hash", indexing.content_hash(F.col("title"), F.col("content"))).withColumn("extra", F.xxhash64("attributes"))
+        return hashed.withColumn("bucket", self._bucket())
 
     def changes(self, incoming: DataFrame) -> DataFrame:
-        """The load's rows with `status`: inserted, updated (also when deleted before), deleted, or no_change."""
-        rows = self._latest(incoming.select("tenant_id", "external_ref", "title", "content", "attributes", "updated_at", "deleted_at"))
-        old = self._buckets(self.documents(), rows).select(*KEYS, F.col("content_hash").alias("old_hash"), F.col("deleted_at").alias("old_deleted"), F.lit(True).alias("there"))
+        """A row a key of the load, without its text, with `status`: inserted, updated (also when deleted before), deleted,
+        or no_change."""
+        w = Window.partitionBy(*KEYS).orderBy(*map(F.desc, self._ORDER))
+        rows = self._load(incoming).select(*KEYS, "bucket", *self._ORDER).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        old = self.documents().select(*KEYS, F.col("content_hash").alias("old_hash"), F.col("deleted_at").alias("old_deleted"), F.lit(True).alias("there"))
         joined = rows.join(old, KEYS, "left")
         gone, was_gone = F.col("deleted_at").isNotNull(), F.col("old_deleted").isNotNull()
         status = (
@@ -91,25 +98,37 @@ class DocumentStore:
             if set(counts) <= {"no_change"}:
                 return counts
             self._enqueue(changed, load)
-            self._prune(scratch, changed)
-            old = self._buckets(self.documents(), changed)
-            kept = old.join(changed.select(*KEYS), KEYS, "left_anti")
-            names = [c.split()[0] for c in _DOCS.split(", ")]
-            # Written aside first, as the files read are those that are replaced.
-            self._replace(scratch.stored(kept.select(names).unionByName(changed.select(names))), "documents", "bucket")
+            rows = self._buckets(self._load(incoming), changed)
+            self._prune(scratch, changed, rows)
+            self._replace(self._merged(changed, rows), "documents", "bucket")
         return counts
 
+    def _merged(self, changed: DataFrame, rows: DataFrame) -> DataFrame:
+        """The touched buckets after the load, by bucket. Texts are shuffled once, by the bucket in which they are written:
+        there a key's rows meet, first the mark that it changed, then the load's, then the stored one."""
+        names = [c.split()[0] for c in _DOCS.split(", ")]
+        part = lambda df, role: df.select(*names, "extra", F.lit(role).alias("role"))
+        there = {*KEYS, "bucket"}
+        marks = changed.select(*[F.col(n) if n in there else F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in _DOCS.split(", "))], F.lit(None).cast("long").alias("extra"))
+        old = self._buckets(self.documents(), changed).withColumn("extra", F.lit(None).cast("long"))
+        w = Window.partitionBy("bucket", *KEYS).orderBy(F.desc("role"), *map(F.desc, self._ORDER))
+        every = part(marks, 2).unionByName(part(rows, 1)).unionByName(part(old, 0)).repartition("bucket")
+        placed = every.withColumn("first", F.first("role").over(w)).withColumn("place", F.row_number().over(w))
+        return placed.where("if(first = 2, place = 2, role = 0)").select(names)
+
     def _enqueue(self, changed: DataFrame, load: str) -> None:
         rows = changed.select(*KEYS, "content_hash", F.when(F.col("status") == "deleted", "delete").otherwise("upsert").alias("op"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(load).alias("load"))
         with Scratch(self.spark) as scratch:
             earlier = self.queue().where(F.col("load") == load).select(rows.columns)
             both = scratch.stored(earlier.unionByName(rows).dropDuplicates([*KEYS, "content_hash", "op"]))
-            self._replace(both, "queue", "load")
+            self._replace(both.repartition("load"), "queue", "load")
 
-    def _prune(self, scratch: Scratch, changed: DataFrame) -> None:
+    def _prune(self, scratch: Scratch, changed: DataFrame, rows: DataFrame) -> None:
         """Vectors of deleted documents and of chunks past the new text's."""
-        plan = indexing.chunk_plan(changed.select(F.struct(*KEYS).alias("doc_id"), "content", "attributes")).select("doc_id.*", "n_chunks")
-        keep = changed.join(plan, KEYS).select(*KEYS, "bucket", F.when(F.col("status") == "deleted", F.lit(0)).otherwise(F.col("n_chunks")).alias("keep"))
+        plan = indexing.chunk_plan(rows.select(F.struct(*KEYS, *self._ORDER).alias("doc_id"), "content", "attributes")).select("doc_id.*", "n_chunks")
+        same = lambda c: F.col(f"c.{c}").eqNullSafe(F.col(f"p.{c}")) if c in self._ORDER else F.col(f"c.{c}") == F.col(f"p.{c}")
+        chosen = changed.alias("c").join(plan.alias("p"), [same(c) for c in (*KEYS, *self._ORDER)]).select("c.*", "n_chunks").dropDuplicates(KEYS)
+        keep = chosen.select(*KEYS, "bucket", F.when(F.col("status") == "deleted", F.lit(0)).otherwise(F.col("n_chunks")).alias("keep"))
         old = self._buckets(self.points(), keep)
         left = old.join(keep.select(*KEYS, "keep"), KEYS, "left")
         over = scratch.stored(left.where("chunk_idx >= keep").select("bucket").distinct())
@@ -119,7 +138,7 @@ class DocumentStore:
             names = [c.split()[0] for c in _POINTS.split(", ")]
             rest = scratch.stored(left.where(F.col("bucket").isin(touched)).where("keep is null or chunk_idx < keep").select(names))
             empty = set(touched) - {r[0] for r in rest.select("bucket").distinct().collect()}
-            self._replace(rest, "points", "bucket")
+            self._replace(rest.repartition("bucket"), "points", "bucket")
             for b in empty:
                 remove(self.spark, f"{self.path}/points/bucket={b}")
 
@@ -129,4 +148,4 @@ class DocumentStore:
             new = scratch.stored(points.select(*KEYS, F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("vector").cast("array<float>").alias("vector")).dropDuplicates([*KEYS, "chunk_idx"]).withColumn("bucket", self._bucket()))
             old = self._buckets(self.points(), new).join(new.select(*KEYS, "chunk_idx"), [*KEYS, "chunk_idx"], "left_anti")
             names = [c.split()[0] for c in _POINTS.split(", ")]
-            self._replace(scratch.stored(old.select(names).unionByName(new.select(names))), "points", "bucket")
+            self._replace(old.select(names).unionByName(new.select(names)).repartition("bucket"), "points", "bucket")
