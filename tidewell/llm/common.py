@@ -107,12 +107,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     current, path = materialize(pairs, "edges")
+    release(spark)
     state = _sums(current)
     least = F.min("v").alias("m"), F.min("m").alias("m")
     for _ in range(max_rounds if state[0] else 0):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written too: plans that read it several times stay small, and so does what the driver keeps of them.
         large, large_path = materialize(beside(both, "u", "v", *least).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "stars")
+        release(spark)
         near = beside(large, "u", "v", *least)
         # The smallest neighbour stays with its node; the others go over to it.
         small = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()

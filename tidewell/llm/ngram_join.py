@@ -356,8 +356,10 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     discard(spark, doubles_path)
     # Sets whose light hashes below the cut don't fill the prefix go on with those beyond it; the others never need them.
     heavy = kept.groupBy("doc").agg(F.count_if(F.col("df") > HEAVY).alias("heavy"))
-    short = sizes.join(heavy, "doc", "left").where("loose or prefix > lows - coalesce(heavy, 0)").select(F.col("doc").alias("doc_id"))
-    more = _shared(late_hashes(docs.join(short, "doc_id", "left_semi"), n, cut)).join(sizes, "doc")
+    short, short_path = materialize(sizes.join(heavy, "doc", "left").where("loose or prefix > lows - coalesce(heavy, 0)").select(F.col("doc").alias("doc_id")), "short")
+    # Written, as one plan of all that leads to the prefixes would fill the driver's memory.
+    late, late_path = materialize(_shared(late_hashes(docs.join(short, "doc_id", "left_semi"), n, cut)), "late")
+    more = late.join(sizes, "doc")
     step = F.when(F.col("late"), 1).when(F.col("df") <= HEAVY, 0).otherwise(2)
     both = kept.withColumn("late", F.lit(False)).unionByName(more.withColumn("late", F.lit(True))).withColumn("step", step)
     per_doc = Window.partitionBy("doc")
@@ -370,9 +372,8 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
         .where("loose or place <= prefix").select("token", "doc", "size", "place", "loose")
     )
     prefixes, prefixes_path = materialize(ordered, "prefixes")
-    discard(spark, kept_path)
-    discard(spark, sizes_path)
-    release(spark)
+    for path in (kept_path, sizes_path, short_path, late_path):
+        discard(spark, path)
 
     firsts = prefixes.groupBy("token").agg(F.min("doc").alias("anchor"), F.max("doc").alias("last")).where("anchor < last")
     votes = prefixes.join(firsts, "token").where("doc <> anchor").groupBy("doc", "anchor").agg(F.count("*").alias("votes"))
@@ -390,7 +391,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     placed = prefixes.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
     # Both sides are joined as one table under two names; a hot list is split by the skew handling of the join.
-    here = placed.join(mixed, "token", "left_semi")
+    here, here_path = materialize(placed.join(mixed, "token", "left_semi"), "mixed")
     one = here.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc", "size", "place", "loose", "component")])
     two = here.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc", "size", "place", "loose", "component")])
     least = f"ceil({percent} * (x_size + y_size) / {100 + percent}D)"
@@ -401,6 +402,7 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
         .select(F.col("x_doc").alias("anchor"), F.col("y_doc").alias("member"))
     )
     pairs, pairs_path = materialize(across.distinct(), "pairs")
+    discard(spark, here_path)
     edges = first_edges
     if not pairs.isEmpty():
         edges = first_edges.unionByName(verify(pairs, docs, n, percent))
