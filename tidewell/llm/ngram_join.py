@@ -403,10 +403,10 @@ def components(docs: DataFrame, n: int = WORDS_PER_SHINGLE, percent: int = PERCE
     )
     pairs, pairs_path = materialize(across.distinct(), "pairs")
     discard(spark, here_path)
-    edges = first_edges
     if not pairs.isEmpty():
-        edges = first_edges.unionByName(verify(pairs, docs, n, percent))
-        first = connected_components(edges)
+        # What was linked before comes as stars, so that only the new links are left to settle.
+        stars = first.select(F.col("component").alias("anchor"), F.col("node").alias("member"))
+        first = connected_components(stars.unionByName(verify(pairs, docs, n, percent)))
     discard(spark, prefixes_path)
     discard(spark, pairs_path)
     labels = classes.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", "salt", F.coalesce("component", "rep").alias("component_id"))
